@@ -8,10 +8,12 @@ hierarchically, when its next point is due; intervals whose next point comes aft
 never split. The tree of a shingle doesn't depend on the document, which keeps signatures comparable.
 
 Grouping: exact copies become one class first. BANDS bands of ROWS registers put classes into buckets. Each
-bucket links its members to one of them (no pairs among all), the links are verified on the texts, and
-components are found. For buckets that still hold several components, the members outside the bucket's
-largest component meet all members of other components, so no link between components is lost; what a large
-group of near copies costs stays linear in its size.
+bucket links its members to one of them, the one that shares most of its shingles with others, as the
+original of a group of copies does (no pairs among all); the links are verified on the texts, and components
+are found. For buckets that still hold several components, the members outside the bucket's largest
+component meet the members of other components, each pair once, so no link between components is lost.
+Pairs that cannot be similar are left out as they are made: shingles that no other document has bound the
+overlap, and a few bits of each register bound the similarity.
 
 Scale: signatures take one pass; buckets, links and components are Spark joins and aggregations; only texts
 of documents in a bucket with others are shuffled again. Each round is written to the shared folder.
@@ -28,7 +30,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +41,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5: a pair at 0.8 shares a bucket with probability 1 - 3e-6.
 BANDS, ROWS = 32, 5
+#: Bits of each register in a document's sketch.
+PLANES = 4
+#: Pairs whose sketches agree on fewer registers aren't verified. At 0.8 the mean is 130; this is 4.5 standard
+#: deviations below, so a pair at 0.8 is as unlikely (3e-6) to be left out here as to share no bucket.
+LEAST_AGREEMENT = 108
 SLICE = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,6 +161,28 @@ def band_keys(regs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return key.view(np.int64)
 
 
+def sketch(regs: np.ndarray) -> np.ndarray:
+    """PLANES bit planes over the registers, each as 64-bit words one after another."""
+    low = mixed(regs.view(np.uint64))
+    bits = np.zeros((PLANES, -(-len(regs) // 64) * 64), dtype=np.uint8)
+    for i in range(PLANES):
+        bits[i, : len(regs)] = (low >> np.uint64(i)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
+def agreement(x: str, y: str, m: int = BANDS * ROWS) -> Column:
+    """How many registers of two sketch columns have equal bits."""
+    words = -(-m // 64)
+    apart = F.lit(0)
+    for w in range(words):
+        differ = F.lit(0).cast("bigint")
+        for i in range(PLANES):
+            at = i * words + w
+            differ = differ.bitwiseOR(F.get(F.col(x), F.lit(at)).bitwiseXOR(F.get(F.col(y), F.lit(at))))
+        apart = apart + F.bit_count(differ)
+    return F.lit(m) - apart
+
+
 def _texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
     """Shingles of each text of an Arrow column, some megabytes at a time."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -167,22 +197,54 @@ def _texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, bands) of (doc_id, text); bands is null for a text without a word."""
+    """(doc_id, content, size, bands, sketch) of (doc_id, text); bands is null for a text without a word.
+
+    content tells exact copies, size counts shingles, sketch has PLANES bits of each register.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, sketches, sizes = [], [], []
             for part in _texts(batch["text"]):
                 for h in part:
-                    keys.append(band_keys(bag_minhash(*np.unique(h, return_counts=True))) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "bands"])
+                    regs = bag_minhash(*np.unique(h, return_counts=True)) if len(h) else None
+                    sizes.append(len(h))
+                    keys.append(None if regs is None else band_keys(regs))
+                    sketches.append(None if regs is None else sketch(regs))
+            arrays = [batch["doc_id"], batch["content"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "size", "bands", "sketch"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("content"), "text")
-    return slim.mapInArrow(signed, "doc_id bigint, content binary, bands array<bigint>")
+    return slim.mapInArrow(signed, "doc_id bigint, content binary, size bigint, bands array<bigint>, sketch array<bigint>")
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each text (doc_id, text), repeats counted, no other of the texts has."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in _texts(batch["text"]):
+                found = [np.unique(h, return_counts=True) for h in part]
+                ids = pc.take(batch["doc_id"], pa.array(np.repeat(np.arange(at, at + len(part)), [len(h) for h, _ in found])))
+                h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["id", "h", "c"])
+                at += len(part)
+
+    rows = texts.select("doc_id", "text").mapInArrow(listed, "id bigint, h bigint, c bigint")
+    by = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.sum("c").alias("c"))
+    return by.where("id = last").groupBy("id").agg(F.sum("c").alias("own"))
+
+
+def can_match(x: str, y: str, least: float) -> Column:
+    """Whether two members may be similar: what either shares with any document bounds their overlap, and sketches must agree."""
+    most = F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared"))
+    bound = most >= least * (F.col(f"{x}.size") + F.col(f"{y}.size") - most) - 1e-9
+    return bound & (agreement(f"{x}.sketch", f"{y}.sketch") >= LEAST_AGREEMENT)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) whose texts have a weighted Jaccard similarity of at least `least`."""
+    """Those of pairs (a, b) whose texts have a weighted Jaccard similarity of at least `least`, SIMILARITY or more."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,28 +286,54 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of buckets that hold several components, with their root and main, the bucket's largest component."""
+    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by = placed.groupBy("k", "root").count().groupBy("k")
+    by = by.agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return materialize(placed.join(by, "k"))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, group_id): class_id names the exact copies, group_id the near ones, both by the smallest doc_id."""
     signed = materialize(signatures(docs))
     worded = signed.where("bands IS NOT NULL AND doc_id IS NOT NULL")
     classes = worded.groupBy("content").agg(F.min("doc_id").alias("class_id"))
-    firsts = worded.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    rows = materialize(firsts.select("id", F.explode("bands").alias("k")))
-    crowded = rows.groupBy("k").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    members = materialize(rows.join(crowded.select("k", "lead"), "k"))
-    some = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(some, "doc_id", "left_semi"))
-    pairs = materialize(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    first = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
+    firsts = materialize(worded.groupBy("content").agg(F.min("doc_id").alias("id"), *first))
+    rows = firsts.select("id", F.explode("bands").alias("k"))
+    crowded = rows.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("k")
+    members = materialize(rows.join(crowded, "k"))
+    some = materialize(members.select("id").distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = materialize(texts.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+    known = firsts.join(some, "id", "left_semi").join(own_shingles(texts), "id", "left")
+    known = materialize(known.select("id", "size", "bands", "sketch", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
+    members = materialize(members.join(known.drop("bands"), "id"))
+    lead = F.max_by(F.struct("id", "size", "shared", "sketch"), F.struct(F.col("shared") / F.col("size"), -F.col("id")))
+    leads = members.groupBy("k").agg(lead.alias("lead")).select("k", "lead.*").alias("y")
+    pairs = members.alias("x").join(leads, F.col("x.k") == F.col("y.k")).where((F.col("x.id") != F.col("y.id")) & can_match("x", "y", least))
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    pairs = materialize(pairs.select(*ends).distinct())
     links = materialize(verified(pairs, texts, least))
     roots = components(links)
-    # what the stars may have missed: buckets with several components
-    placed = members.select("k", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    placed = materialize(placed.join(split, "k", "left_semi"))
-    main = placed.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"))
-    outside = placed.join(main, "k").where("root <> main").select("k", F.col("id").alias("x"), F.col("root").alias("rx"))
-    met = outside.join(placed, "k").where("rx <> root").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = materialize(verified(met.join(pairs, ["a", "b"], "left_anti"), texts, least))
+    # those outside a bucket's largest component meet one more of its members, another one in each bucket
+    placed = _split_buckets(members, roots)
+    other = F.min_by(F.struct("id", "size", "shared", "sketch"), F.xxhash64("id", "k"))
+    others = placed.where("root = main").groupBy("k").agg(other.alias("other")).select("k", "other.*").alias("y")
+    again = placed.where("root <> main").alias("x").join(others, F.col("x.k") == F.col("y.k")).where(can_match("x", "y", least))
+    again = materialize(again.select(*ends).distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(materialize(verified(again, texts, least)))
+    roots = components(links)
+    # what the stars may have missed: buckets with several components. A pair is made in the first bucket
+    # that both are in, and once if both are outside
+    placed = materialize(_split_buckets(members, roots).join(known.select("id", "bands"), "id"))
+    first_met = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.k")
+    once = (F.col("y.root") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    met = placed.where("root <> main").alias("x").join(placed.alias("y"), F.col("x.k") == F.col("y.k"))
+    met = met.where((F.col("x.root") != F.col("y.root")) & once & can_match("x", "y", least) & first_met).select(*ends)
+    met = materialize(met.join(pairs.unionByName(again), ["a", "b"], "left_anti"))
+    more = materialize(verified(met, texts, least))
     groups = components(links.unionByName(more)) if more.limit(1).count() else roots
     named = classes.join(groups, F.col("class_id") == F.col("id"), "left").select("content", "class_id", F.coalesce("root", "class_id").alias("group_id"))
     alone = signed.where("bands IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
