@@ -18,7 +18,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,7 @@ def without_marker(line: Column) -> Column:
     return F.regexp_replace(line, rf"^(?:{names}):\s*", "")
 
 
-def lines_of(transcripts: DataFrame, first_turn: int) -> DataFrame:
+def lines_of(transcripts: DataFrame, first_turn: int, block: int = BLOCK) -> DataFrame:
     """One row per line of (conv_id, turn, text): with its block, order and features."""
     df = transcripts.withColumns(
         {
@@ -70,7 +70,7 @@ def lines_of(transcripts: DataFrame, first_turn: int) -> DataFrame:
     n = F.length("line")
     return df.withColumns(
         {
-            "b": F.floor(F.col("t") / BLOCK).cast("bigint"),
+            "b": F.floor(F.col("t") / block).cast("bigint"),
             "marker": marker_of(F.col("line")),
             "length": F.when(n < 40, 0).when(n < 120, 1).when(n < 240, 2).when(n < 480, 3).otherwise(4),
             "asks": F.btrim("line").endswith("?").cast("int"),
@@ -138,70 +138,74 @@ def _path(steps: list[np.ndarray], begin: int, end: int) -> list[int]:
     return states[::-1]
 
 
-def decode(transcripts: DataFrame, moves: np.ndarray, emissions: dict[str, np.ndarray], first_turn: int, last_turn: int) -> DataFrame:
-    """One row per recovered turn: conv_id, first_turn, first_line, role, n_lines, text."""
-    lines = lines_of(transcripts, first_turn).select("conv", "b", "t", "turn", "text", "line_no", F.when(F.col("marker") > 0, without_marker(F.col("line"))).otherwise(F.col("line")).alias("line"), *FEATURES)
-    node = "conv bigint, b bigint, m array<double>"
+def in_groups(df: DataFrame, keys: list[str], order: list[str], rows_of: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """rows_of applied to the rows of each key (not null), in order; many small groups go in one Arrow batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(batch):
+                k = batch[keys].to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1])
+                rest = batch.iloc[starts[-1] :]
+                yield pd.DataFrame([r for a, b in zip(starts[:-1], starts[1:], strict=True) for r in rows_of(batch.iloc[a:b])], columns=names)
+        if rest is not None:
+            yield pd.DataFrame(rows_of(rest), columns=names)
 
-    def block_matrix(group: pd.DataFrame) -> pd.DataFrame:
-        e = _scores(group.sort_values(ORDER), emissions)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def decode(transcripts: DataFrame, moves: np.ndarray, emissions: dict[str, np.ndarray], first_turn: int, last_turn: int, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """One row per recovered turn: conv_id, first_turn, first_line, role, n_lines, text."""
+    lines = lines_of(transcripts, first_turn, block)
+    kept = F.when(F.col("marker") > 0, without_marker(F.col("line"))).otherwise(F.col("line")).alias("line")
+    lines = lines.select("conv", "b", "t", F.coalesce("turn", F.lit(first_turn - 1)).cast("bigint").alias("turn"), "text", "line_no", kept, *FEATURES)
+    node, state = "conv bigint, b bigint, m array<double>", "conv bigint, b bigint, before int, last int"
+    matrix = lambda m: np.reshape(m, (S + 1, S))
+
+    def block_matrix(group: pd.DataFrame) -> list[tuple]:
+        e = _scores(group, emissions)
         m = moves + e[0]
         for row in e[1:]:
             m = _times(m, moves[:S] + row)
-        return pd.DataFrame({"conv": group["conv"].iloc[:1], "b": group["b"].iloc[:1], "m": [m.ravel()]})
+        return [(group["conv"].iat[0], group["b"].iat[0], m.ravel())]
 
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("b")
-        m, *rest = (np.reshape(x, (S + 1, S)) for x in group["m"])
+    def product(group: pd.DataFrame) -> list[tuple]:
+        m, *rest = map(matrix, group["m"])
         for x in rest:
             m = _times(m, x[:S])
-        return pd.DataFrame({"conv": group["conv"].iloc[:1], "b": [group["b"].iat[0] // FAN], "m": [m.ravel()]})
-
-    nodes = [materialize(lines.drop("line", "turn").groupBy("conv", "b").applyInPandas(block_matrix, node))]
-    reach = (last_turn - first_turn + 1) // BLOCK
-    up = (F.floor(F.col("b") / FAN)).cast("bigint").alias("up")
-    while reach > 0:  # a few levels even for turn numbers that are times
-        nodes.append(materialize(nodes[-1].groupBy("conv", up).applyInPandas(product, node)))
-        reach //= FAN
+        return [(group["conv"].iat[0], group["up"].iat[0], m.ravel())]
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            states = [_path([np.reshape(m, (S + 1, S))], START, -1)[-1] for m in batch["m"]]
-            yield batch[["conv", "b"]].assign(before=START, last=states)
-
-    states = nodes[-1].mapInPandas(ends, "conv bigint, b bigint, before int, last int")
-    state = "conv bigint, b bigint, before int, last int"
+            yield batch[["conv", "b"]].assign(before=START, last=[_path([matrix(m)], START, -1)[-1] for m in batch["m"]])
 
-    def down(children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
-        if not len(children) or not len(parent):
-            return pd.DataFrame({"conv": [], "b": [], "before": [], "last": []}).astype("int64")
-        children = children.sort_values("b")
-        begin, end = int(parent["before"].iat[0]), int(parent["last"].iat[0])
-        path = _path([np.reshape(m, (S + 1, S)) for m in children["m"]], begin, end)
-        return children[["conv", "b"]].assign(before=[begin, *path[:-1]], last=path)
+    def down(group: pd.DataFrame) -> list[tuple]:
+        begin = int(group["before"].iat[0])
+        path = _path([matrix(m) for m in group["m"]], begin, int(group["last"].iat[0]))
+        return list(zip(group["conv"], group["b"], [begin, *path[:-1]], path, strict=True))
 
-    for level in reversed(nodes[:-1]):
-        states = level.groupBy("conv", up).cogroup(states.groupBy("conv", F.col("b").alias("up"))).applyInPandas(down, state)
-
-    def turns(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["conv", "b", "part", "first_turn", "first_line", "role", "n_lines", "text"]
-        if not len(rows) or not len(known):
-            return pd.DataFrame(columns=columns)
-        rows = rows.sort_values(ORDER)
-        e = _scores(rows, emissions)
-        path = np.array(_path([moves + x for x in e], int(known["before"].iat[0]), int(known["last"].iat[0])))
+    def turns(rows: pd.DataFrame) -> list[tuple]:
+        path = np.array(_path([moves + x for x in _scores(rows, emissions)], int(rows["before"].iat[0]), int(rows["last"].iat[0])))
         part = np.cumsum(path % 2 == 0)  # 0: goes on with a turn of an earlier block
-        out = []
-        for k in np.unique(part):
-            own = rows[part == k]
-            begins = path[part == k][0] % 2 == 0
-            first = (own["turn"].iat[0], own["line_no"].iat[0]) if begins else (None, None)
-            out.append((own["conv"].iat[0], own["b"].iat[0], k, *first, ROLES[path[part == k][0] // 2], len(own), "\n".join(own["line"])))
-        return pd.DataFrame(out, columns=columns).astype({"first_turn": "Int64", "first_line": "Int64"})
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        conv, b, turn, line_no, text = rows["conv"].iat[0], rows["b"].iat[0], rows["turn"].to_numpy(), rows["line_no"].to_numpy(), rows["line"].tolist()
+        return [(conv, b, int(part[i]), int(turn[i]), int(line_no[i]), ROLES[path[i] // 2], j - i, "\n".join(text[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    nodes = [materialize(in_groups(lines.drop("line", "turn"), ["conv", "b"], ORDER, block_matrix, node))]
+    reach = (last_turn - first_turn + 1) // block
+    up = F.floor(F.col("b") / fan).cast("bigint").alias("up")
+    while reach > 0:  # a few levels even for turn numbers that are times
+        nodes.append(materialize(in_groups(nodes[-1].select("*", up), ["conv", "up"], ["b"], product, node)))
+        reach //= fan
+    states = nodes[-1].mapInPandas(ends, state)
+    for level in reversed(nodes[:-1]):
+        states = level.select("*", up).join(states.withColumnRenamed("b", "up"), ["conv", "up"])
+        states = in_groups(states, ["conv", "up"], ["b"], down, state)
     part = "conv bigint, b bigint, part int, first_turn bigint, first_line int, role string, n_lines bigint, text string"
-    parts = lines.groupBy("conv", "b").cogroup(states.groupBy("conv", "b")).applyInPandas(turns, part)
-    parts = materialize(parts)
+    parts = materialize(in_groups(lines.join(states, ["conv", "b"]), ["conv", "b"], ORDER, turns, part))
     # where a part goes on with an earlier block's turn, the block and part of that turn's first line
     own = F.when(F.col("part") > 0, F.struct("b", "part"))
     lasts = parts.groupBy("conv", "b").agg(F.max(own).alias("own"))
@@ -212,7 +216,7 @@ def decode(transcripts: DataFrame, moves: np.ndarray, emissions: dict[str, np.nd
     whole = parts.groupBy("conv", "start").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     return whole.select(
         F.when(F.col("conv") != NO_CONV, F.col("conv")).alias("conv_id"),
-        F.col("p")[0]["first_turn"].alias("first_turn"),
+        F.when(F.col("p")[0]["first_turn"] >= first_turn, F.col("p")[0]["first_turn"]).alias("first_turn"),
         F.col("p")[0]["first_line"].alias("first_line"),
         F.col("p")[0]["role"].alias("role"),
         F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_lines"]).alias("n_lines"),
@@ -240,11 +244,11 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def parse(transcripts: DataFrame, labelled: DataFrame) -> DataFrame:
+def parse(transcripts: DataFrame, labelled: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Recovered turns of transcripts (conv_id, turn, text), with the model learnt from labelled ones (with role)."""
     lo, hi = transcripts.unionByName(labelled.select(*transcripts.columns)).agg(F.coalesce(F.min("turn"), F.lit(0)), F.coalesce(F.max("turn"), F.lit(0))).first()
     moves, emissions = learn(labelled, lo)
-    return rendered(decode(transcripts, moves, emissions, lo, hi))
+    return rendered(decode(transcripts, moves, emissions, lo, hi, block, fan))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
