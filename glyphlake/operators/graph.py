@@ -30,6 +30,8 @@ def graph_nodes(members: DataFrame) -> DataFrame:
 def graph_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(codepoint, source, target, relation, category): edges inside each family; self-loops stay."""
     starts = members.select("codepoint", "pos", F.col("member").alias("source"))
+    # edges that leave every family go first, before sources multiply them by families
+    edges = edges.join(members.select(F.col("member").alias("target_codepoint")).distinct(), "target_codepoint", "left_semi")
     out = starts.join(edges.select(F.col("source_codepoint").alias("source"), F.col("target_codepoint").alias("target"), "relation", F.col("relation_category").alias("category")), "source")
     inside = out.join(members.select("codepoint", F.col("member").alias("target")), ["codepoint", "target"], "left_semi")
     pair = ["codepoint", F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), "relation"]
