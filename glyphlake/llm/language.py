@@ -138,8 +138,13 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | N
     for r in pairs.collect():  # at most DIM rows
         df[r["idx"]] = r["n"]
     idf = np.log((1 + seen) / (1 + df)) + 1
-    sample = gathered.where("lang IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
-    data = [(np.asarray(r["idx"]), weighted(np.asarray(r["idx"]), np.asarray(r["tf"], dtype=float), idf), languages.index(r["lang"])) for r in sample if r["idx"]]
+    sample = gathered.where("lang IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").select("lang", "idx", "tf")
+    data = []
+    for batch in sample.toArrow().to_batches():  # arrays all the way: as Python numbers the sample takes ten times as much
+        for lang, idx, tf in zip(batch["lang"].to_pylist(), batch["idx"], batch["tf"], strict=True):
+            at = idx.values.to_numpy()
+            if len(at):
+                data.append((at, weighted(at, tf.values.to_numpy().astype(float), idf), languages.index(lang)))
     learn = [d for i, d in enumerate(data) if i % 5] or data
     held = [d for i, d in enumerate(data) if i % 5 == 0]
     w = fit_ftrl(learn, len(languages))
