@@ -1,11 +1,11 @@
 """Operator 8, packing into optimal length buckets.
 
-Lengths are counted on a fixed grid (exact to 256, then steps of 1/128 of the length), so the histogram of
-any corpus has at most a few thousand cells. Dynamic programming over it chooses at most N_BUCKETS
+Lengths are tokens of whole texts, as operator 1 counts them. The histogram is over a fixed grid (exact to 256,
+then steps of 1/128 of the length), so that of any corpus has at most a few thousand cells. Dynamic programming over it chooses at most N_BUCKETS
 boundaries such that the padding, boundary minus length summed over all documents, is least. Within a
 bucket, batches hold token budget / boundary documents, numbered by rank.
 
-Scale: the histogram is one aggregation; ranks within a bucket come from hashed shards and a prefix sum, so
+Scale: one pass without a shuffle counts tokens; the histogram is one aggregation; ranks within a bucket come from hashed shards and a prefix sum, so
 a bucket with a third of all documents is never in one task. Texts are not shuffled, only ids and lengths.
 
 Defined results: null text has length 0 and goes to the smallest bucket; documents longer than the budget
@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHARDS, materialize, md5_number, ranked, table, word_count
+from .common import SHARDS, materialize, md5_number, ranked, table
+from .token_counts import token_count
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -74,11 +75,11 @@ def bucketed(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, length in words, bucket, boundary, padding, batch within the bucket."""
-    lengths = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("length"))
+    """One row per document: doc_id, length in tokens, bucket, boundary, padding, batch within the bucket."""
+    lengths = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("length"))
     return bucketed(materialize(lengths))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document, as often as it is in docs, with its batch."""
-    return bucketed(materialize(docs.select("doc_id", word_count(F.col("text")).alias("length"))))
+    return bucketed(materialize(docs.select("doc_id", token_count(F.col("text")).alias("length"))))

@@ -183,6 +183,21 @@ def test_buckets(spark, odd):
         assert all(n == 1 or n * boundary <= length_buckets.TOKEN_BUDGET for (_, boundary, _), n in batches.items())
 
 
+def test_bucket_lengths_are_tokens(spark, odd):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for folder in (DATA, odd):
+        want = sorted((r["doc_id"], len(model.encode(r["text"] or ""))) for r in documents(spark, folder))
+        packed = length_buckets.packing_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        for df in (QUERIES["op8_length_buckets"](spark, folder), packed):
+            rows = df.collect()
+            assert sorted((r["doc_id"], r["length"]) for r in rows) == want
+            full = Counter()
+            for r in rows:
+                full[r["bucket"], r["batch"]] += r["length"]
+            alone = Counter((r["bucket"], r["batch"]) for r in rows)
+            assert all(n <= length_buckets.TOKEN_BUDGET or alone[b] == 1 for b, n in full.items())
+
+
 def bag(text):
     w = WORD.findall(text or "")
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
