@@ -3,6 +3,9 @@
 Input: user_id, key, ts, event_id; equal times stand in the order of event_id. A user may have a third of all
 events, so no window holds a user's events: they are aggregated by (user, key) or by (user, cell of time)
 first, and windows run over those rows.
+
+Nulls: a null user_id is a user like any other, and a null ts or event_id stands after all others of its user. An
+event without ts is settled, as none follows it by a known time.
 """
 
 from __future__ import annotations
@@ -15,6 +18,21 @@ RECENT = 14
 CELL = "1 day"
 
 
+def _late() -> Column:
+    """What orders events by (ts, event_id), nulls last, inside an aggregate."""
+    return F.struct(F.col("ts").isNull(), "ts", F.col("event_id").isNull(), "event_id")
+
+
+def _in_order() -> list[Column]:
+    return [F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+
+
+def _with_cells(events: DataFrame, cells: DataFrame) -> DataFrame:
+    """events with what cells has for the same (user_id, _cell), nulls being equal to each other."""
+    right = cells.withColumnsRenamed({"user_id": "_user", "_cell": "_of"})
+    return events.join(right, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_cell").eqNullSafe(F.col("_of"))).drop("_user", "_of")
+
+
 def recent(events: DataFrame, n: int = RECENT) -> DataFrame:
     """(user_id, key, ts, place): each user's n latest keys, each once, the latest first."""
     last = events.groupBy("user_id", "key").agg(F.max(F.struct("ts", "event_id")).alias("l")).select("user_id", "key", "l.ts", "l.event_id")
@@ -29,11 +47,13 @@ def settled(events: DataFrame, gap_seconds: int) -> DataFrame:
     event that follows too soon.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    cells = events.withColumns({"_us": micros, "_cell": F.floor(micros / F.lit(gap_seconds * 1_000_000)).cast("bigint")})
-    by = cells.groupBy("user_id", "_cell").agg(F.max_by(F.struct(*events.columns, "_us"), F.struct("_us", "event_id")).alias("last"), F.min("_us").alias("first"))
-    following = by.select("user_id", (F.col("_cell") - 1).alias("_cell"), F.col("first").alias("next"))
+    cells = events.where(F.col("ts").isNotNull()).withColumns({"_us": micros, "_cell": F.floor(micros / F.lit(gap_seconds * 1_000_000)).cast("bigint")})
+    by = cells.groupBy("user_id", "_cell").agg(F.max_by(F.struct(*events.columns, "_us"), _late()).alias("last"), F.min("_us").alias("first"))
+    following = by.select(F.col("user_id").alias("_user"), (F.col("_cell") - 1).alias("_of"), F.col("first").alias("next"))
     ended = F.col("next").isNull() | (F.col("next") - F.col("last._us") > gap_seconds * 1_000_000)
-    return by.drop("first").join(following, ["user_id", "_cell"], "left").where(ended).select(*[f"last.{c}" for c in events.columns])
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_cell") == F.col("_of"))
+    timed = by.drop("first").join(following, same, "left").where(ended).select(*[f"last.{c}" for c in events.columns])
+    return timed.unionByName(events.where(F.col("ts").isNull()))
 
 
 def _cell(ts: Column) -> Column:
@@ -42,22 +62,21 @@ def _cell(ts: Column) -> Column:
 
 def changes(events: DataFrame) -> DataFrame:
     """events with previous (the user's key just before, null at first): only those whose key is another one."""
-    order = [F.col("ts"), F.col("event_id")]
     cells = events.withColumn("_cell", _cell(F.col("ts")))
-    lasts = cells.groupBy("user_id", "_cell").agg(F.max_by("key", F.struct("ts", "event_id")).alias("_key"))
-    lasts = lasts.select("user_id", "_cell", F.lag("_key").over(Window.partitionBy("user_id").orderBy("_cell")).alias("_earlier"))
-    near = F.lag("key").over(Window.partitionBy("user_id", "_cell").orderBy(*order))
-    joined = cells.withColumn("_near", near).join(lasts, ["user_id", "_cell"])
-    previous = F.coalesce("_near", "_earlier")
+    lasts = cells.groupBy("user_id", "_cell").agg(F.max_by(F.struct("key"), _late()).alias("_key"))
+    lasts = lasts.select("user_id", "_cell", F.lag("_key").over(Window.partitionBy("user_id").orderBy(F.col("_cell").asc_nulls_last())).alias("_earlier"))
+    near = F.lag(F.struct("key")).over(Window.partitionBy("user_id", "_cell").orderBy(*_in_order()))
+    joined = _with_cells(cells.withColumn("_near", near), lasts)
+    previous = F.coalesce("_near", "_earlier")["key"]  # structs, so that a null key is a key too
     return joined.withColumn("previous", previous).where(~F.col("key").eqNullSafe(F.col("previous"))).drop("_cell", "_near", "_earlier")
 
 
 def unfrozen(events: DataFrame, is_click: Column, is_move: Column) -> DataFrame:
     """The moves that count: those after an even number of the user's clicks."""
     cells = events.withColumns({"_cell": _cell(F.col("ts")), "_click": F.coalesce(is_click.cast("int"), F.lit(0)), "_move": is_move})
-    before = Window.partitionBy("user_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("user_id").orderBy(F.col("_cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     sums = cells.groupBy("user_id", "_cell").agg(F.sum("_click").alias("_n"))
     sums = sums.select("user_id", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    running = F.sum("_click").over(Window.partitionBy("user_id", "_cell").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    joined = cells.withColumn("_running", running).join(sums, ["user_id", "_cell"])
+    running = F.sum("_click").over(Window.partitionBy("user_id", "_cell").orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, 0))
+    joined = _with_cells(cells.withColumn("_running", running), sums)
     return joined.where(F.col("_move") & ((F.col("_before") + F.col("_running")) % 2 == 0)).select(*events.columns)

@@ -7,6 +7,7 @@ import pytest
 from glyphlake import api
 from glyphlake.operators import activity, browse, graph, neighbours, ranges
 from glyphlake.operators.entry import Dictionary, entries
+from glyphlake.plans.queries import ORACLE_SQL, QUERIES
 from glyphlake.schemas import TABLES
 
 ROWS = {
@@ -119,6 +120,16 @@ def test_ranges(spark):
         assert [r["ordinal"] for r in sorted(ranges.first_holding(points, areas, cell, -1).collect())] == [-1, 1, 0, 0, -1]
 
 
+@pytest.mark.parametrize("name", ["debounce_last", "key_changes", "unfrozen_moves"])
+def test_activity_with_nulls(spark, same, tmp_path, name):
+    at = lambda day, minute: datetime.datetime(2024, 1, day, 1, minute)
+    kinds = ["view", "click", "view", None, "view", "view", "click"]
+    rows = [(n, user, kinds[(n + i) % 7], ts) for i, user in enumerate((None, 1)) for n, ts in enumerate([at(1, 0), at(1, 5), at(2, 0), at(2, 1), at(4, 0), None, None, None], 10 * i)]
+    rows.append((None, 1, "view", at(4, 0)))
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    same(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path))
+
+
 def test_activity_on_nothing(spark):
     none = spark.createDataFrame([], "user_id long, key string, ts timestamp, event_id long")
     assert not activity.recent(none).collect() and not activity.settled(none, 60).collect() and not activity.changes(none).collect()
