@@ -47,9 +47,9 @@ def recent_stream(events: DataFrame, n: int = RECENT) -> DataFrame:
     return slim.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, keys array<string>", "keys array<string>, times array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
-def back_stack_stream(events: DataFrame, home: str = "home", back: str = "back", depth: int = 1000) -> DataFrame:
+def back_stack_stream(events: DataFrame, home: str = "home", back: str = "back", depth: int | None = None) -> DataFrame:
     """(user_id, current, trail): where each user is and the way back. Opening another key pushes the current one, back
-    pops, home empties. Events of one user in one batch are applied in the order of (ts, event_id)."""
+    pops, home empties. The whole trail is kept, unless depth cuts it to its last keys. Events of one user in one batch are applied in the order of (ts, event_id)."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current, trail = state.get if state.exists else (None, [])
@@ -60,7 +60,10 @@ def back_stack_stream(events: DataFrame, home: str = "home", back: str = "back",
             elif k == back:
                 current = trail.pop() if trail else current
             elif k != current:
-                trail = [*trail, *([current] if current is not None else [])][-depth:]
+                if current is not None:
+                    trail.append(current)
+                if depth is not None:
+                    del trail[: max(len(trail) - depth, 0)]
                 current = k
         state.update((current, trail))
         yield pd.DataFrame({"user_id": [key[0]], "current": [current], "trail": [trail]})

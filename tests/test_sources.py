@@ -69,6 +69,17 @@ def test_streams(spark, tmp_path, events):
         assert stacks[user] == (current, trail)
 
 
+def test_back_stack_keeps_the_whole_trail(spark, tmp_path):
+    keys = [f"k{i}" for i in range(2_500)]
+    rows = spark.range(2_500).selectExpr("1L AS user_id", "concat('k', id) AS key", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id AS event_id")
+    rows.write.parquet(str(tmp_path / "many"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "many"))
+    (row,) = run(streams.back_stack_stream(stream), "update", tmp_path, "whole")
+    assert (row["current"], list(row["trail"])) == (keys[-1], keys[:-1])
+    (row,) = run(streams.back_stack_stream(stream, depth=3), "update", tmp_path, "cut")
+    assert list(row["trail"]) == keys[-4:-1]
+
+
 def test_windows(spark, tmp_path, events):
     settled = run(streams.settled_stream(events, "1 hour"), "append", tmp_path, "settled")
     counts = run(streams.counts_stream(events), "append", tmp_path, "counts")
