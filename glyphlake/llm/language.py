@@ -4,7 +4,9 @@ Texts, lower-cased, become hashed counts of 1- to 3-grams of characters, weighte
 to length 1. Document frequencies count every training document. Weights are learned by
 follow-the-regularised-leader with an elastic net (most stay zero) on a bounded sample, at most about
 PER_LANGUAGE documents of each language, drawn by a hash of doc_id; every fifth of them is kept back, and
-on these one temperature is calibrated. Predictions read whole texts, and nothing but the text.
+on these one temperature is calibrated. Predictions read whole texts, and nothing but the text. In the pipeline,
+texts go whose score is below halfway from chance, 1 / number of languages, to the low scores of rightly told
+kept-back documents.
 
 Scale: one pass gathers document frequencies (a vector of DIM counts per task, summed by Spark) and the
 sample's count vectors (at most DIM entries each); the driver holds DIM numbers and the sample. Prediction
@@ -12,7 +14,8 @@ is one more pass without a shuffle.
 
 Defined results: a text that is null or has no letter gives `und` with score 0; without any labelled
 training document every text gives `und`; repeated rows get equal results; ties go to the language that is
-first in code point order; an empty table gives an empty result.
+first in code point order; with one language every text with a letter has score 1, so none goes for its score;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ PER_LANGUAGE = 1000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
-#: In the pipeline, documents whose language is less sure than this go.
-LEAST_SCORE = 0.3
+#: Share of the rightly told kept-back documents whose scores are passed over as low ones when the least score is set.
+LOW = 0.01
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -64,6 +67,7 @@ class LanguageModel:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    least: float
 
     def probabilities(self, text: str) -> np.ndarray:
         counts = gram_counts(text)
@@ -102,6 +106,12 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def least_score(scores: np.ndarray, n_languages: int) -> float:
+    """What a text must reach to be kept, from the scores of rightly told kept-back documents; chance if there are none."""
+    chance = 1 / n_languages
+    return (chance + float(np.quantile(scores, LOW))) / 2 if len(scores) else chance
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Learns from (doc_id, text, lang); None if nothing is labelled."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -149,7 +159,11 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | N
     held = [d for i, d in enumerate(data) if i % 5 == 0]
     w = fit_ftrl(learn, len(languages))
     logits = np.array([x @ w[idx] for idx, x, _ in held]).reshape(-1, len(languages))
-    return LanguageModel(languages, idf, w, calibrate(logits, np.array([y for *_, y in held], dtype=int)) if held else 1.0)
+    labels = np.array([y for *_, y in held], dtype=int)
+    temperature = calibrate(logits, labels) if held else 1.0
+    p = _softmax(logits / temperature) if held else logits
+    right = p[p.argmax(axis=1) == labels].max(axis=1)
+    return LanguageModel(languages, idf, w, temperature, least_score(right, len(languages)))
 
 
 def predict(text: Column, model: LanguageModel | None) -> Column:
@@ -190,5 +204,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is told with some certainty."""
-    told = docs.withColumn("_told", predict(F.col("text"), fit(docs.where(~held_out()).select("doc_id", "text", "lang"))))
-    return told.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= LEAST_SCORE)).select(*docs.columns)
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    told = docs.withColumn("_told", predict(F.col("text"), model))
+    return told.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= (model.least if model else 0.0))).select(*docs.columns)

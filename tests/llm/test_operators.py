@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from glyphlake.llm import chat_format, lattice_lm, length_buckets, mixing, near_dup, token_counts, token_files
+from glyphlake.llm import chat_format, language, lattice_lm, length_buckets, mixing, near_dup, token_counts, token_files
 from glyphlake.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import DATA
@@ -114,6 +114,20 @@ def test_language(spark, odd):
     assert [rows[i] for i in range(3)] == ["und"] * 3 and rows[9] == "en"
 
 
+def test_language_stage_drops_other_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    strange = ["中文字符。" * 50, "Привет мир как дела сегодня", "안녕하세요 세계", "漢", "ελληνικά γράμματα είναι εδώ"]
+    more = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(strange)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in language.language_stage(spark, docs.unionByName(more, allowMissingColumns=True), DATA).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
+def test_least_score_lies_above_chance():
+    for n in (2, 3, 4, 20):
+        assert 1 / n < language.least_score(np.linspace(0.9, 1, 50), n) < 0.9
+    assert language.least_score(np.empty(0), 4) == 0.25
+
+
 def viterbi(lines, moves, emissions):
     """Plain Viterbi over all lines of a conversation at once."""
     score = lambda r: sum(e[:, r[f]] for f, e in emissions.items())
