@@ -11,7 +11,8 @@ Grouping: exact copies become one class first. BANDS bands of ROWS registers put
 bucket links its members to one of them, the one that shares most of its shingles with others, as the
 original of a group of copies does (no pairs among all); the links are verified on the texts, and components
 are found. For buckets that still hold several components, the members outside the bucket's largest
-component meet the members of other components, each pair once, so no link between components is lost.
+component meet the members of other components, each pair once, so no link between components is lost; they
+are dealt over parts of at most about PART members, so the pairs of one bucket are made in many tasks.
 Pairs that cannot be similar are left out as they are made: shingles that no other document has bound the
 overlap, and a few bits of each register bound the similarity.
 
@@ -46,6 +47,8 @@ PLANES = 4
 #: Pairs whose sketches agree on fewer registers aren't verified. At 0.8 the mean is 130; this is 4.5 standard
 #: deviations below, so a pair at 0.8 is as unlikely (3e-6) to be left out here as to share no bucket.
 LEAST_AGREEMENT = 108
+#: Members of a bucket whose pairs one task makes with the bucket, in the last step.
+PART = 1000
 SLICE = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,13 +283,20 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members of buckets that hold several components, with their root and main, the bucket's largest component."""
+    """members of buckets that hold several components, with their root, main, the bucket's largest component, and parts."""
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     by = placed.groupBy("k", "root").count().groupBy("k")
-    by = by.agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    by = by.agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.count("*").alias("n"), F.ceil(F.sum("count") / PART).alias("parts"))
+    by = by.where("n > 1").drop("n")
     return materialize(placed.join(by, "k"))
 
 
+def _dealt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members outside their bucket's main component, each in one part of it, and all members, in every part."""
+    outside = placed.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return outside, placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, group_id): class_id names the exact copies, group_id the near ones, both by the smallest doc_id."""
     signed = materialize(signatures(docs))
@@ -323,7 +333,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     placed = materialize(_split_buckets(members, roots).join(known.select("id", "bands"), "id"))
     first_met = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.k")
     once = (F.col("y.root") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
-    met = placed.where("root <> main").alias("x").join(placed.alias("y"), F.col("x.k") == F.col("y.k"))
+    outside, everywhere = _dealt(placed)
+    met = outside.alias("x").join(everywhere.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.part") == F.col("y.part")))
     met = met.where((F.col("x.root") != F.col("y.root")) & once & can_match("x", "y", least) & first_met).select(*ends)
     met = materialize(met.join(pairs.unionByName(again), ["a", "b"], "left_anti"))
     more = materialize(verified(met, texts, least))

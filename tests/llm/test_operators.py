@@ -230,6 +230,17 @@ def test_near_duplicates(spark, odd):
         assert got == root
 
 
+def test_hot_bucket_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PART", 20)
+    members = spark.range(400).selectExpr("7L AS k", "id")
+    placed = near_dup._split_buckets(members, spark.range(100).selectExpr("id", "0L AS root"))
+    outside, everywhere = near_dup._dealt(placed)
+    met = outside.alias("x").join(everywhere.alias("y"), ["k", "part"]).selectExpr("part", "x.id AS a", "y.id AS b")
+    sizes = [r["count"] for r in met.groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 400 * 40
+    assert met.select("a", "b").distinct().count() == met.count() == 300 * 400
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(3)
     names = rng.integers(0, 1 << 63, 40).astype(np.uint64)
