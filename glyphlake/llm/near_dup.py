@@ -20,8 +20,9 @@ Scale: signatures take one pass; buckets, links and components are Spark joins a
 of documents in a bucket with others are shuffled again. Each round is written to the shared folder.
 
 Defined results: documents without a word (null, empty or blank) and null ids are groups of their own; a
-text of fewer than five words is one shingle; rows with the same doc_id are one document; the group is
-named by its smallest doc_id; an empty table gives an empty result.
+text of fewer than five words is one shingle; rows with the same doc_id and text are one document, different
+texts of one doc_id are documents of their own; class and group are named by their smallest doc_id; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             arrays = [batch["doc_id"], batch["content"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "size", "bands", "sketch"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("content"), "text")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _content(F.col("text")).alias("content"), "text")
     return slim.mapInArrow(signed, "doc_id bigint, content binary, size bigint, bands array<bigint>, sketch array<bigint>")
 
 
@@ -228,7 +229,7 @@ def own_shingles(texts: DataFrame) -> DataFrame:
                 at += len(part)
 
     rows = texts.select("doc_id", "text").mapInArrow(listed, "id bigint, h bigint, c bigint")
-    by = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.sum("c").alias("c"))
+    by = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("c").alias("c"))  # a text may stand here twice
     return by.where("id = last").groupBy("id").agg(F.sum("c").alias("own"))
 
 
@@ -297,19 +298,37 @@ def _dealt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return outside, placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
 
+def _content(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes (content, class_id) with a number of their own as id: class_id, or a hash where a smaller content has that one."""
+    shared = classes.groupBy("class_id").agg(F.min("content").alias("_least"), F.count("*").alias("_n"))
+    shared = materialize(shared.where("_n > 1").select("class_id", "_least"))
+    own = F.col("_least").isNull() | (F.col("content") == F.col("_least"))
+    numbered = classes.join(shared, "class_id", "left")
+    return numbered.withColumn("id", F.when(own, F.col("class_id")).otherwise(F.xxhash64("class_id", "content"))).drop("_least")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, group_id): class_id names the exact copies, group_id the near ones, both by the smallest doc_id."""
+    return grouped(docs, least).select("doc_id", "class_id", "group_id")
+
+
+def grouped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """near_duplicates with content and root, which tells groups apart whatever their names; null for texts without a word."""
     signed = materialize(signatures(docs))
     worded = signed.where("bands IS NOT NULL AND doc_id IS NOT NULL")
-    classes = worded.groupBy("content").agg(F.min("doc_id").alias("class_id"))
     first = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
-    firsts = materialize(worded.groupBy("content").agg(F.min("doc_id").alias("id"), *first))
+    firsts = _numbered(materialize(worded.groupBy("content").agg(F.min("doc_id").alias("class_id"), *first)))
     rows = firsts.select("id", F.explode("bands").alias("k"))
     crowded = rows.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("k")
     members = materialize(rows.join(crowded, "k"))
     some = materialize(members.select("id").distinct())
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = materialize(texts.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+    wanted = firsts.join(some, "id", "left_semi").select(F.col("class_id").alias("doc_id"), "content", "id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _content(F.col("text")).alias("content"), "text")
+    texts = materialize(texts.join(wanted, ["doc_id", "content"]).select(F.col("id").alias("doc_id"), "text"))
     known = firsts.join(some, "id", "left_semi").join(own_shingles(texts), "id", "left")
     known = materialize(known.select("id", "size", "bands", "sketch", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
     members = materialize(members.join(known.drop("bands"), "id"))
@@ -339,9 +358,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     met = materialize(met.join(pairs.unionByName(again), ["a", "b"], "left_anti"))
     more = materialize(verified(met, texts, least))
     groups = components(links.unionByName(more)) if more.limit(1).count() else roots
-    named = classes.join(groups, F.col("class_id") == F.col("id"), "left").select("content", "class_id", F.coalesce("root", "class_id").alias("group_id"))
-    alone = signed.where("bands IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
-    return worded.select("doc_id", "content").join(named, "content").select("doc_id", "class_id", "group_id").unionByName(alone)
+    classes = firsts.select("content", "class_id", "id")
+    names = groups.join(classes, "id").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    named = classes.join(groups.join(names, "root"), "id", "left")
+    named = named.select("content", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("root", "id").alias("root"))
+    alone = signed.where("bands IS NULL OR doc_id IS NULL").select("doc_id", "content", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(None).cast("bigint").alias("root"))
+    return worded.select("doc_id", "content").join(named, "content").select(*alone.columns).unionByName(alone)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +372,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; documents without an id stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = group_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    """One document of each group, that with the smallest doc_id; documents without an id stay.
+
+    A document is a doc_id and a text, so another text under a repeated doc_id is judged by itself.
+    """
+    content = F.coalesce(F.col("content"), F.lit(b"")).alias("_content")
+    groups = materialize(grouped(docs.select("doc_id", "text")).select("doc_id", content, "root"))
+    of_groups = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "_content")).alias("m")).select("m.*")
+    kept = of_groups.unionByName(groups.where("root IS NULL AND doc_id IS NOT NULL").select("doc_id", "_content").distinct())
+    keyed = docs.withColumn("_content", F.coalesce(_content(F.col("text")), F.lit(b"")))
+    one = F.row_number().over(Window.partitionBy("doc_id", "_content").orderBy("text"))
+    first = keyed.join(kept, ["doc_id", "_content"], "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
     return first.unionByName(docs.where("doc_id IS NULL"))

@@ -241,6 +241,17 @@ def test_hot_bucket_is_dealt_over_parts(spark, monkeypatch):
     assert met.select("a", "b").distinct().count() == met.count() == 300 * 400
 
 
+def test_texts_of_a_repeated_id(spark):
+    line = [f"{LINE} {' '.join(f'{k}{i}' for i in range(40))}" for k in "abc"]
+    rows = [(1, line[0]), (2, line[0] + " z"), (2, line[1]), (2, line[2]), (2, line[2]), (3, line[1] + " z"), (4, line[2]), (4, None), (4, " "), (None, line[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = near_dup.near_dup_stage(spark, docs, DATA).collect()
+    want = [(1, line[0]), (2, line[1]), (2, line[2]), (4, None), (4, " "), (None, line[0])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+    got = sorted((tuple(r) for r in near_dup.near_duplicates(docs.where("text LIKE '%40%' OR text LIKE '%39%'")).where("doc_id IS NOT NULL").collect()))
+    assert got == [(1, 1, 1), (2, 2, 1), (2, 2, 2), (2, 2, 2), (2, 2, 2), (3, 3, 2), (4, 2, 2)]
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(3)
     names = rng.integers(0, 1 << 63, 40).astype(np.uint64)
