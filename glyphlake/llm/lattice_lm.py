@@ -6,10 +6,14 @@ recursion in log space runs over each word's lattice; pieces never cross words,
 sum over its words and the end. Characters that no piece holds are spelt in byte pieces. The base score is
 an add-half unigram model over whole words of the same training documents.
 
-Scale: words are counted by the part of the hash space they fall in, as arrays, one row for each part and
-task. For scoring, documents meet in hashed chunks of about CHUNK_BYTES; each chunk asks the parts for its
-distinct words, a part computes each lattice once and answers in the order asked. A frequent word costs one
-entry per chunk however often it occurs, so no key is hot. The driver holds one number per piece.
+No vocabulary at hand has unigram scores (those of a BPE model are merge ranks), hence the estimate.
+
+Scale: texts are read once and never shuffled. A task cuts its rows into chunks of about CHUNK_BYTES and writes
+each document as numbers of the chunk's distinct words, and those words, with their training counts, by the part
+of the hash space they fall in. Parts add up the counts; a part computes each lattice once and answers every
+chunk in the order asked, and a chunk's documents are summed from its answers. A frequent word costs one entry
+per chunk however often it occurs, and chunks are of rows, not of ids, so no key is hot. The driver holds one
+number per piece.
 
 Defined results: null is empty and has only the end; the rest of a text is lower-cased A-Z only; without
 training documents the base score is 0 (of one kind of token) and pieces are equally likely; repeated rows
@@ -26,13 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, table
+from .common import materialize, mixed, slices, table
 
 MODEL = "piece_bpe_32k.model"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, SLICE = 8 << 20, 2 << 20
 LEAST_PARTS = 64
 #: Added to each piece's count.
 SMOOTHING = 0.5
@@ -77,35 +82,35 @@ class PieceLattice:
         self.bytes = {int(p[3:5], 16): log_p[i] for i, (p, b) in enumerate(zip(pieces, is_byte, strict=True)) if b}
         self.log_p = {p: float(log_p[i]) for i, (p, b) in enumerate(zip(pieces, is_byte, strict=True)) if p and not b}
         self.longest = max(map(len, self.log_p))
-        keys = np.array([self._hash(np.array([[ord(c) for c in p]], dtype=np.uint64))[0] for p in self.log_p], dtype=np.uint64)
-        scores = np.array(list(self.log_p.values()))
-        # a table 64 times as large as the vocabulary; a few slots hold more than one piece, each on its level
-        self.bits = int(len(keys) * 64 - 1).bit_length()
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        level = np.arange(len(slot)) - np.searchsorted(slot[order], slot[order])
-        self.levels = []
-        for n in range(int(level.max(initial=0)) + 1):
-            at = order[level == n]
-            table_keys, table_scores = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -np.inf)
-            table_keys[slot[at]], table_scores[slot[at]] = keys[at], scores[at]
-            self.levels.append((table_keys, table_scores))
-
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), dtype=np.uint64)
-        for i in range(codes.shape[1]):
+        # all beginnings of pieces by hash; -inf for one that is no piece itself
+        lengths = np.array([len(p) for p in self.log_p])
+        codes = np.frombuffer("".join(p.ljust(self.longest, "\0") for p in self.log_p).encode("utf-32-le"), dtype="<u4").reshape(-1, self.longest)
+        own, h, keys, scores = np.array(list(self.log_p.values())), np.zeros(len(codes), np.uint64), [], []
+        for i in range(self.longest):
             h = mixed(h * _P + codes[:, i] + np.uint64(1))
-        return h
-
-    def _edges(self, h: np.ndarray) -> np.ndarray:
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        (keys, scores), *others = self.levels
-        out = np.where(keys[slot] == h, scores[slot], -np.inf)
-        for keys, scores in others:
-            hit = np.flatnonzero(keys[slot] == h)
-            out[hit] = np.maximum(out[hit], scores[slot[hit]])
-        return out
+            keys.append(h[lengths > i])
+            scores.append(np.where(lengths == i + 1, own, -np.inf)[lengths > i])
+        self.keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.scores = np.full(len(self.keys), -np.inf)
+        np.maximum.at(self.scores, place, np.concatenate(scores))
+        # a sparse table finds nearly all; the few keys that share a slot with another are searched for
+        self.shift = np.uint64(64 - int(len(self.keys) * 16 - 1).bit_length())
+        slot = (self.keys >> self.shift).astype(np.int64)
+        self.table = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int32)
+        self.table[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.more = np.flatnonzero(self.table[slot] != np.arange(len(slot)))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes among the beginnings of pieces, -1 for others."""
+        place = self.table[(h >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero((place >= 0) & (self.keys[place] != h))
+        if len(miss):
+            place[miss] = -1
+            if len(self.more):
+                at = self.more[np.minimum(np.searchsorted(self.keys[self.more], h[miss]), len(self.more) - 1)]
+                same = self.keys[at] == h[miss]
+                place[miss[same]] = at[same]
+        return place
 
     def _spelt(self, char: str) -> float:
         return float(sum(self.bytes[b] for b in char.encode("utf-8", "replace")))
@@ -135,19 +140,24 @@ class PieceLattice:
         return out / np.log(10)
 
     def _many(self, texts: list[str], n: int) -> np.ndarray:
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(texts), n).astype(np.uint64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(texts), n).T.astype(np.uint64)
         alpha = np.full((n + 1, len(texts)), -np.inf)
         alpha[0] = 0
         for i in range(n):
-            h = np.zeros(len(texts), dtype=np.uint64)
+            on, h = np.arange(len(texts)), np.zeros(len(texts), dtype=np.uint64)
             for j in range(i, min(n, i + self.longest)):
-                h = mixed(h * _P + codes[:, j] + np.uint64(1))
-                edge = self._edges(h)
+                h = mixed(h * _P + codes[j, on] + np.uint64(1))
+                place = self._find(h)
+                edge = np.where(place >= 0, self.scores[place], -np.inf)
                 if j == i:
                     for t in np.flatnonzero(np.isneginf(edge)):
                         edge[t] = self._spelt(texts[t][i])
-                hit = np.flatnonzero(edge > -np.inf)
-                alpha[j + 1, hit] = np.logaddexp(alpha[j + 1, hit], alpha[i, hit] + edge[hit])
+                hit = edge > -np.inf
+                to = on[hit]
+                alpha[j + 1, to] = np.logaddexp(alpha[j + 1, to], alpha[i, to] + edge[hit])
+                on, h = on[place >= 0], h[place >= 0]
+                if not len(on):
+                    break
         return alpha[n]
 
 
@@ -185,39 +195,62 @@ def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), values).cast(pa.list_(values.type))
 
 
-def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """One row per part of the hash space: part, words (of all documents), c (their count in training documents)."""
+def coded(docs: DataFrame, parts: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, text, held_out) as two kinds of rows: (chunk, doc_id, held_out, codes) for each document, codes being
+    numbers of words, and (chunk, part, words, c) for the chunk's words in each part of the hash space, c their count
+    in training documents. The chunk's words are numbered by part, then as in words."""
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("words", pa.list_(pa.string())), ("c", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.list_(pa.int32()))])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
+        chunk, held = TaskContext.get().partitionId() << 32, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.concat_tables(waiting).group_by("w").aggregate([("c", "sum")]).combine_chunks()
-            words, c = t["w"].combine_chunks(), t["c_sum"].combine_chunks()
-            order, present, starts = _by_part(words, parts)
-            at = pa.array(order)
-            yield pa.RecordBatch.from_arrays([pa.array(present), _lists(words.take(at).cast(pa.string()), starts), _lists(c.take(at), starts)], names=["part", "words", "c"])
+            rows = pa.concat_tables(waiting).combine_chunks()
             waiting.clear()
+            texts = rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"]
+            words, starts = words_of(texts)
+            found = words.dictionary_encode()
+            codes = found.indices.to_numpy()
+            order, present, bounds = _by_part(found.dictionary, parts)
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
+            training = np.repeat(~rows["held_out"].to_numpy(), np.diff(starts))
+            c = np.bincount(codes[training], minlength=len(order))[order]
+            doc = {"chunk": pa.repeat(chunk, len(rows)), "doc_id": rows["doc_id"].combine_chunks(), "held_out": rows["held_out"].combine_chunks(), "codes": _lists(pa.array(number[codes]), starts)}
+            yield filled(doc)
+            asked = {"chunk": pa.repeat(chunk, len(present)), "part": pa.array(present), "words": _lists(found.dictionary.take(pa.array(order)).cast(pa.string()), bounds), "c": _lists(pa.array(c, pa.int64()), bounds)}
+            yield filled(asked)
+
+        def filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            n = len(columns["chunk"])
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
         for batch in batches:
-            training = ~batch["held_out"].to_numpy(zero_copy_only=False)
-            words, starts = words_of(batch["text"])
-            weight = np.repeat(training, np.diff(starts)).astype(np.int64)
-            waiting.append(pa.table({"w": words, "c": weight}).group_by("w").aggregate([("c", "sum")]).rename_columns(["w", "c"]).select(["w", "c"]))
-            if sum(len(t) for t in waiting) > 2_000_000:
-                yield from flush()
+            at = 0
+            for texts in slices(batch["text"], SLICE):
+                waiting.append(pa.table({"doc_id": batch["doc_id"].slice(at, len(texts)), "held_out": batch["held_out"].slice(at, len(texts)), "text": texts}))
+                at += len(texts)
+                held += texts.nbytes
+                if held >= chunk_bytes:
+                    yield from flush()
+                    chunk, held = chunk + 1, 0
         if waiting:
             yield from flush()
 
+    return docs.select("doc_id", "text", "held_out").mapInArrow(cut, "chunk bigint, part bigint, words array<string>, c array<bigint>, doc_id bigint, held_out boolean, codes array<int>")
+
+
+def word_counts(asked: DataFrame) -> DataFrame:
+    """One row per part of the hash space: part, words (of all documents), c (their count in training documents)."""
+
     def merged(group: pa.Table) -> pa.Table:
         flat = pa.table({"w": pc.list_flatten(group["words"]), "c": pc.list_flatten(group["c"])})
         t = flat.group_by("w").aggregate([("c", "sum")]).combine_chunks()
         words, c, ends = t["w"].combine_chunks(), t["c_sum"].combine_chunks(), np.array([0, len(t)])
         return pa.table({"part": group["part"][:1], "words": _lists(words.cast(pa.string()), ends), "c": _lists(c, ends)})
 
-    schema = "part bigint, words array<string>, c array<bigint>"
-    partial = docs.select("text", "held_out").mapInArrow(counted, schema)
-    return partial.groupBy("part").applyInArrow(merged, schema)
+    return asked.select("part", "words", "c").groupBy("part").applyInArrow(merged, "part bigint, words array<string>, c array<bigint>")
 
 
 def piece_counts(counts: DataFrame, ends: int, model: str) -> bytes:
@@ -245,8 +278,10 @@ def piece_counts(counts: DataFrame, ends: int, model: str) -> bytes:
 def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score and score."""
     size = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
-    parts, ends = max(LEAST_PARTS, (size[0] or 0) // chunk_bytes), size[1]
-    counts = materialize(word_counts(docs, parts))
+    parts, ends = max(LEAST_PARTS, (size[0] or 0) // (2 * chunk_bytes)), size[1]
+    rows = materialize(coded(docs, parts, chunk_bytes))
+    asked = rows.where("part IS NOT NULL").select("part", "chunk", "words", "c")
+    counts = materialize(word_counts(asked))
     known = F.aggregate(F.transform("c", lambda x: (x > 0).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     used = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
     v, n = counts.agg(F.coalesce(F.sum(known), F.lit(0)), F.coalesce(F.sum(used), F.lit(0))).first()
@@ -256,17 +291,6 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
     end_score = float(np.log10(end_p / (np.frombuffer(pieces).sum() + SMOOTHING * (len(pieces) // 8))))
     base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
-    def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        words, starts = words_of(texts)
-        coded = words.dictionary_encode()
-        return coded.dictionary, coded.indices.to_numpy(), starts
-
-    def ask(group: pa.Table) -> pa.Table:
-        words, _, _ = distinct(group["text"].combine_chunks())
-        order, present, starts = _by_part(words, parts)
-        asked = _lists(words.take(pa.array(order)).cast(pa.string()), starts)
-        return pa.table({"part": present, "chunk": pa.repeat(group["chunk"][0], len(present)), "words": asked})
-
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("c", pa.list_(pa.int64())), ("s", pa.list_(pa.float64()))])
         if not len(left) or not len(right):
@@ -278,20 +302,18 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
         return pa.table([right["chunk"], right["part"], _lists(pa.array(c[at]), starts), _lists(pa.array(scores[at]), starts)], schema=schema)
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, index, starts = distinct(left["text"].combine_chunks())
-        order, present, bounds = _by_part(words, parts)
         right = right.sort_by("part")
-        c, s = np.zeros(len(words), np.int64), np.zeros(len(words))
-        if right["part"].to_pylist() != present.tolist():
+        c, s = pc.list_flatten(right["c"]).to_numpy(), pc.list_flatten(right["s"]).to_numpy()
+        lengths, index = pc.list_value_length(left["codes"]).to_numpy(), pc.list_flatten(left["codes"]).to_numpy()
+        if len(index) and index.max() >= len(c):
             raise RuntimeError("a chunk's answers are incomplete")
-        c[order], s[order] = pc.list_flatten(right["c"]).to_numpy(), pc.list_flatten(right["s"]).to_numpy()
-        doc = np.repeat(np.arange(len(left)), np.diff(starts))
+        doc = np.repeat(np.arange(len(left)), lengths)
         total = lambda x: np.bincount(doc, weights=x[index], minlength=len(left))
         return pa.table(
             {
                 "doc_id": left["doc_id"],
                 "held_out": left["held_out"],
-                "n_tokens": np.diff(starts) + 1,
+                "n_tokens": lengths.astype(np.int64) + 1,
                 "n_known": total((c > 0).astype(float)).astype(np.int64) + int(ends > 0),
                 "train_tokens": np.full(len(left), n, np.int64),
                 "base_score": total(base(c)) + base(ends),
@@ -299,12 +321,10 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
             }
         )
 
-    chunk = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(parts)).alias("chunk")
-    chunked = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"), chunk)
-    asked = chunked.groupBy("chunk").applyInArrow(ask, "part bigint, chunk bigint, words array<string>")
-    answers = counts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk bigint, part bigint, c array<bigint>, s array<double>")
+    answers = counts.groupBy("part").cogroup(asked.select("part", "chunk", "words").groupBy("part")).applyInArrow(answer, "chunk bigint, part bigint, c array<bigint>, s array<double>")
+    documents = rows.where("part IS NULL").select("chunk", "doc_id", "held_out", "codes")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sums, out)
+    return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sums, out)
 
 
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
