@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,9 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a run on one machine gets a folder of its own; on a cluster this raises. What is written
+    stays for the life of the application, as its results may read it; the cluster's owner clears the folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors of a cluster need a folder that all share")
         base = f"file://{tempfile.mkdtemp(prefix='glyphlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/glyphlake-{uuid.uuid4().hex}"
@@ -48,6 +56,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """An Arrow text column in parts of about so many bytes, one text at least; what a part needed is given back before the next."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else None
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield texts.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
+        at = to
+
+
 def md5_number(*parts: Column) -> Column:
     """The first 32 bits of md5 over the parts; the same in every engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint")
