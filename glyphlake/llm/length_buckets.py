@@ -1,77 +1,91 @@
 """Operator 8, packing into optimal length buckets.
 
-Lengths are tokens of whole texts, as operator 1 counts them. The histogram is over a fixed grid (exact to 256,
-then steps of 1/128 of the length), so that of any corpus has at most a few thousand cells. Dynamic programming over it chooses at most N_BUCKETS
-boundaries such that the padding, boundary minus length summed over all documents, is least. Within a
-bucket, batches hold token budget / boundary documents, numbered by rank.
-
-Scale: one pass without a shuffle counts tokens; the histogram is one aggregation; ranks within a bucket come from hashed shards and a prefix sum, so
-a bucket with a third of all documents is never in one task. Texts are not shuffled, only ids and lengths.
-
-Defined results: null text has length 0 and goes to the smallest bucket; documents longer than the budget
-are batches of their own; repeated rows and ties are each a document; an empty table gives an empty result.
+Lengths are tokens of whole texts, as operator 1 counts them. Dynamic programming over their exact global
+histogram chooses at most N_BUCKETS boundaries such that the padding, boundary minus length summed over all
+documents, is least: a bucket's cost is linear in its boundary, so the best place of the boundary before lies
+on a hull of lines that is walked once per bucket. Within a bucket, batches hold token budget / boundary
+documents, numbered by rank.
+
+Scale: one pass without a shuffle counts tokens; the histogram is one aggregation, and the driver holds a row
+for each distinct length, never more than the longest document has tokens; ranks within a bucket come from
+hashed shards, as many as the rows ask for, and a prefix sum, so a bucket with a third of all documents is
+never in one task. Texts are not shuffled, only ids and lengths.
+
+Defined results: null text has length 0 and goes to the smallest bucket, whose boundary is 1 at least;
+documents longer than the budget are batches of their own; repeated rows and ties are each a document; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHARDS, materialize, md5_number, ranked, table
+from .common import SHARDS, materialize, ranked, table
 from .token_counts import token_count
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT, STEPS = 256, 128
-
-
-def on_grid(length: Column) -> Column:
-    """length rounded up to the grid; at least 1."""
-    n = F.greatest(length, F.lit(1)).cast("bigint")
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 7)  # 1/128 of the power of two at or below
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("bigint"))
-
-
-def best_boundaries(grid: np.ndarray, counts: np.ndarray, sums: np.ndarray, k: int = N_BUCKETS) -> list[int]:
-    """At most k of the ascending grid values, the last included, with the least padding in total."""
-    m = len(grid)
-    c, s = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(sums)]).astype(float)
-    cost = np.full(m + 1, np.inf)
-    cost[0] = 0
+#: Rows that share a shard when they are ranked.
+SHARD_ROWS = 200_000
+
+
+def best_boundaries(lengths: list[int], counts: list[int], sums: list[int], k: int = N_BUCKETS) -> list[int]:
+    """At most k of the ascending lengths, the last included, with the least padding in total; sums are those of the
+    true lengths in each cell."""
+    m = len(lengths)
+    c, s = [0], [0]
+    for n, total in zip(counts, sums, strict=True):
+        c.append(c[-1] + int(n))
+        s.append(s[-1] + int(total))
+    cost: list[int | None] = [0, *[None] * m]  # of the first j cells
     choices = []
     for _ in range(min(k, m)):
-        new, pick = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
-        new[0] = 0
-        for j in range(1, m + 1):  # the last bucket holds cells i..j-1
-            total = cost[:j] + grid[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            pick[j] = int(np.argmin(total))
-            new[j] = total[pick[j]]
+        new, pick = [0, *[None] * m], [0] * (m + 1)
+        # Cells i..j-1 in one bucket cost lengths[j-1] * (c[j] - c[i]) - (s[j] - s[i]), which is a line in lengths[j-1]
+        # with slope -c[i]. Slopes fall and the points asked for rise, so the lowest line only moves on.
+        hull: list[int] = []
+        best = 0
+        height = lambda i: cost[i] + s[i]  # noqa: B023, E731
+        for j in range(1, m + 1):
+            if cost[j - 1] is not None:
+                while len(hull) >= 2 and (height(j - 1) - height(hull[-2])) * (c[hull[-1]] - c[hull[-2]]) <= (height(hull[-1]) - height(hull[-2])) * (c[j - 1] - c[hull[-2]]):
+                    hull.pop()
+                hull.append(j - 1)
+                best = min(best, len(hull) - 1)
+            x = lengths[j - 1]
+            while best + 1 < len(hull) and height(hull[best + 1]) - x * c[hull[best + 1]] <= height(hull[best]) - x * c[hull[best]]:
+                best += 1
+            i = hull[best]
+            pick[j] = i
+            new[j] = height(i) - x * c[i] + x * c[j] - s[j]
         choices.append(pick)
         cost = new
     bounds, j = [], m
     for pick in reversed(choices):
         if j > 0:
-            bounds.append(int(grid[j - 1]))
+            bounds.append(int(lengths[j - 1]))
             j = pick[j]
     return bounds[::-1]
 
 
 def bucketed(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """Adds bucket, boundary, padding and batch to a table with doc_id and length."""
-    lengths = lengths.withColumn("_cell", on_grid(F.col("length")))
-    cells = lengths.groupBy("_cell").agg(F.count("*").alias("n"), F.sum("length").alias("total")).orderBy("_cell").collect()
-    if not cells:
-        return lengths.drop("_cell").withColumns({"bucket": F.lit(0), "boundary": F.lit(0).cast("bigint"), "padding": F.lit(0).cast("bigint"), "batch": F.lit(0).cast("bigint")})
-    bounds = best_boundaries(*(np.array([r[k] for r in cells]) for k in ("_cell", "n", "total")), n_buckets)
+    cell = F.greatest(F.col("length"), F.lit(1)).cast("bigint").alias("cell")
+    cells = lengths.groupBy(cell).agg(F.count("*").alias("n"), F.sum("length").alias("total")).toArrow().sort_by("cell")
+    if not len(cells):
+        return lengths.withColumns({"bucket": F.lit(0), "boundary": F.lit(0).cast("bigint"), "padding": F.lit(0).cast("bigint"), "batch": F.lit(0).cast("bigint")})
+    counts = cells["n"].to_pylist()
+    bounds = best_boundaries(cells["cell"].to_pylist(), counts, cells["total"].to_pylist(), n_buckets)
     bucket = F.lit(len(bounds) - 1)
     for i in reversed(range(len(bounds) - 1)):
-        bucket = F.when(F.col("_cell") <= bounds[i], F.lit(i)).otherwise(bucket)
+        bucket = F.when(F.col("length") <= bounds[i], F.lit(i)).otherwise(bucket)
     df = lengths.withColumn("bucket", bucket).withColumn("boundary", F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1).cast("bigint"))
-    shard = F.pmod(md5_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(SHARDS))
-    df = ranked(df, ["bucket"], [], [F.col("doc_id")], shard, "_rank")
+    shards = max(SHARDS, sum(counts) // SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards))
+    df = ranked(df, ["bucket"], [], [F.col("doc_id"), F.col("length")], shard, "_rank")
     size = F.greatest(F.floor(F.lit(budget) / F.col("boundary")), F.lit(1))
-    return df.withColumns({"padding": F.col("boundary") - F.col("length"), "batch": F.floor((F.col("_rank") - 1) / size).cast("bigint")}).drop("_rank", "_cell")
+    return df.withColumns({"padding": F.col("boundary") - F.col("length"), "batch": F.floor((F.col("_rank") - 1) / size).cast("bigint")}).drop("_rank")
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
