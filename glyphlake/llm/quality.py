@@ -3,7 +3,8 @@
 Counts come first, each from the whole text (null: no words): words, code points in words, symbols,
 repeated lines, words in repeated three-word windows, stop words. RULES then names ratios of those counts
 and the range each must keep; compile_rules makes one boolean expression of them. Nothing shuffles and no
-user function runs, so cost is linear in the text and a lost executor repeats only its own files.
+user function runs, so cost is linear in the text and a lost executor repeats only its own files. Counts and
+verdict are one expression of bound values, so a filter on them doesn't multiply their parts.
 
 Repeated windows: each window is hashed to 64 bits. Only if a text has equal hashes are (hash, place) pairs
 sorted, so that equal ones are neighbours; the places found are sorted again and their union measured.
@@ -15,10 +16,12 @@ rows get equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_array
+from .common import BLANK_CHARS, table, word_array
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -39,56 +42,73 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to a table with _words; each step is a projection of its own, so that nothing is computed twice."""
-    at = lambda array, i: F.get(F.col(array), i)
-    n = F.size("_words")
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at("_words", i), at("_words", i + 1), at("_words", i + 2)))
-    df = df.withColumn("_windows", F.when(n >= 3, windows))
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    df = df.withColumn("_sorted", F.when(some, F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    same = lambda x, i: (x["h"] == at("_sorted", i + 1)["h"]) | (x["h"] == at("_sorted", i - 1)["h"])
-    found = F.sort_array(F.transform(F.filter("_sorted", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"]))
-    df = df.withColumn("_found", F.when(F.size("_sorted") > 0, found))
-    gap = lambda p, i: F.least(F.lit(3), p - F.coalesce(at("_found", i - 1), F.lit(-3)))
-    steps = F.transform("_found", gap)
-    return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("bigint"))
-
-
-def counts(docs: DataFrame, text: str = "text", words: dict[str, str] = STOP_WORDS) -> DataFrame:
-    """docs with the counts that rules may use; the text itself is dropped."""
-    stop = sorted({w for line in words.values() for w in line.split()})
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", word_array(F.col("_text")))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
-            "n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("bigint"),
-            "n_lines": F.size("_lines").cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("bigint"),
-        }
-    ).drop("_text", "_lines", text)
-    return _repeated(df).drop("_words", "_windows", "_sorted", "_found")
-
-
-def compile_rules(rules: list[tuple[str, str, float | None, float | None]] = RULES) -> Column:
-    """One boolean: every ratio within its range. A ratio over nothing fails."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in three-word windows that occur twice or more."""
+    n = F.size(words)
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
+    def same(by_hash: Column) -> Column:
+        alike = lambda x, i: (x["h"] == F.get(by_hash, i + 1)["h"]) | (x["h"] == F.get(by_hash, i - 1)["h"])
+        return F.sort_array(F.transform(F.filter(by_hash, lambda x, i: F.coalesce(alike(x, i), F.lit(False))), lambda x: x["p"]))
+
+    def union(found: Column) -> Column:
+        steps = F.transform(found, lambda p, i: F.least(F.lit(3), p - F.coalesce(F.get(found, i - 1), F.lit(-3))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+    def counted(h: Column) -> Column:
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(by_hash, lambda s: let(same(s), union))).otherwise(0)
+
+    return F.when(n >= 3, let(hashes, counted)).otherwise(0)
+
+
+def _counts(text: Column, words: Column, lines: Column, stop: list[str]) -> Column:
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))),
+        "n_repeat_words": _repeat_words(words),
+    }
+    return F.struct(*[c.cast("bigint").alias(k) for k, c in counts.items()])
+
+
+def compile_rules(counts: Column, rules: list[tuple[str, str, float | None, float | None]] = RULES) -> Column:
+    """One boolean over a struct of counts: every ratio within its range. A ratio over nothing fails."""
     kept = F.lit(True)
     for _, value, least, most in rules:
+        ratio = F.try_divide(*(counts[c] for c in value.split(" / ")))
         if least is not None:
-            kept &= F.expr(f"coalesce(try_divide({value.split(' / ')[0]}, {value.split(' / ')[1]}) >= {least}D, false)")
+            kept &= F.coalesce(ratio >= F.lit(least), F.lit(False))
         if most is not None:
-            kept &= F.expr(f"coalesce(try_divide({value.split(' / ')[0]}, {value.split(' / ')[1]}) <= {most}D, false)")
+            kept &= F.coalesce(ratio <= F.lit(most), F.lit(False))
     return kept
 
 
+def judgement(text: Column, rules: list[tuple[str, str, float | None, float | None]] = RULES, words: dict[str, str] = STOP_WORDS) -> Column:
+    """struct of the counts, base_failed and kept: one expression, so that a filter moves it as a whole or not at all."""
+    stop = sorted({w for line in words.values() for w in line.split()})
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"])
+        return F.struct(*[c[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & compile_rules(c, rules)).alias("kept"))
+
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
+    whole = lambda t: let(word_array(t), lambda w: let(lines(t), lambda x: let(_counts(t, w, x, stop), judged)))
+    return let(F.coalesce(text, F.lit("")), whole)
+
+
 def judge(docs: DataFrame, text: str = "text", rules: list[tuple[str, str, float | None, float | None]] = RULES) -> DataFrame:
     """docs without the text, with the counts, base_failed and kept."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    df = counts(docs, text).withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return docs.withColumn("_judged", judgement(F.col(text), rules)).drop(text).select("*", "_judged.*").drop("_judged")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +119,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep.
-
-    A filter moves below projections and takes copies of their expressions along, which multiply from step to
-    step here. It doesn't move below a row number, so it reads one, and the counts are made once.
-    """
-    judged = judge(docs.withColumn("_body", F.col("text")), "_body").withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    """The documents that the rules keep."""
+    return docs.where(judgement(F.col("text"))["kept"])
 
 
 def _sql() -> str:
