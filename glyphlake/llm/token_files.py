@@ -8,7 +8,7 @@ manifest, written by Spark's committer, names only files of attempts that succee
 lost executor leaves no trace in it. Global starts are a prefix sum over the manifest, one row per file.
 
 Encoding: a boundary before a space that follows a character other than white space is one that the
-tokenizer's rule never crosses, so texts are cut there, equal pieces of a batch are encoded once by the
+tokenizer's rule never crosses, so texts are cut there, equal pieces of some megabytes are encoded once by the
 library, and ids are put together by index. Texts with other white space before a space are encoded whole.
 
 Scale: one shuffle, of the texts, by range; a task streams its texts and holds a block and its index.
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import materialize, shared_folder, table
+from .common import materialize, shared_folder, slices, table
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 65_536
-#: Pieces whose ids a process keeps; about 40 bytes each.
-CACHE = 2_000_000
+#: Bytes of text that are encoded at a time.
+SLICE = 8 << 20
 MAGIC = b"GLPACK01"
 FOOTER = "<8sBIQQQQ"  # magic, bits, ids per block, blocks, documents, ids, place of the index
 #: White space before a space; the class holds every character that the tokenizer's rule takes as such.
@@ -76,7 +76,6 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
-        self.known, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,13 +106,13 @@ class PieceEncoder:
         heads = pc.if_else(whole, texts, words.take(pa.array(starts)))
         coded = words.dictionary_encode()
         unit = coded.indices.to_numpy().astype(np.int64)
-        place = self._look_up(coded.dictionary)
+        known, known_ends = self._pieces(coded.dictionary)
         head_ids = self._encode(heads.to_pylist())
-        # units: known pieces, then the texts' heads, then the end id
-        n_known = len(self.ends) - 1
-        flat = np.concatenate([self.flat, *[np.asarray(x, np.uint32) for x in head_ids], [END_ID]]).astype(np.uint32)
-        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([*[len(x) for x in head_ids], 1])])
-        units = place[unit]
+        # units: distinct pieces, then the texts' heads, then the end id
+        n_known = len(known_ends)
+        flat = np.concatenate([known, *[np.asarray(x, np.uint32) for x in head_ids], [END_ID]]).astype(np.uint32)
+        ends = np.concatenate([[0], known_ends, len(known) + np.cumsum([*[len(x) for x in head_ids], 1])]).astype(np.int64)
+        units = unit.copy()
         units[starts] = n_known + np.arange(len(texts))
         after = np.append(starts[1:], len(units))
         units = np.insert(units, after, n_known + len(texts))
@@ -123,21 +122,6 @@ class PieceEncoder:
         last = after + np.arange(len(texts))
         return ids, np.diff(np.concatenate([[0], total[last]]))
 
-    def _look_up(self, words: pa.Array) -> np.ndarray:
-        """Places of words among the known pieces; what is new is encoded and added."""
-        if len(self.known) > CACHE:
-            self.known, self.flat, self.ends = self.known[:0], self.flat[:0], self.ends[:1]
-        found = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(found))
-        place = found.fill_null(-1).to_numpy().astype(np.int64)
-        place[place < 0] = len(self.known) + np.arange(len(new))
-        if len(new):
-            ids, ends = self._pieces(new)
-            self.known = pa.concat_arrays([self.known, new])
-            self.ends = np.concatenate([self.ends, len(self.flat) + ends])
-            self.flat = np.concatenate([self.flat, ids])
-        return place
-
 
 @lru_cache(maxsize=1)
 def _encoder(name: str) -> PieceEncoder:
@@ -228,18 +212,17 @@ def write_token_files(docs: DataFrame, folder: str, model: str = MODEL, block: i
         writer, name, first, n_docs = None, f"{folder}/tokens-{uuid.uuid4().hex}.bin", None, 0
         encoder = _encoder(model)
         for batch in batches:
-            for at in range(0, len(batch), 10_000):
-                rows = batch.slice(at, 10_000)
-                doc_id = rows["doc_id"].cast(pa.int64())
-                if not len(rows):
-                    continue
+            at = 0
+            for texts in slices(batch["text"], SLICE):
+                doc_id = batch["doc_id"].slice(at, len(texts)).cast(pa.int64())
+                at += len(texts)
                 if writer is None:
                     fs, path = open_folder(folder)
                     fs.create_dir(path, recursive=True)
                     writer, first = PackedWriter(name, encoder.vocabulary, block), doc_id[0].as_py()
-                ids, lengths = encoder.encode(rows["text"].cast(pa.string()).fill_null(""))
+                ids, lengths = encoder.encode(texts.cast(pa.string()).fill_null(""))
                 writer.append(ids, doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), lengths)
-                n_docs += len(rows)
+                n_docs += len(texts)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "n_docs": [n_docs], "n_ids": [writer.n_ids]})
