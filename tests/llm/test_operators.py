@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -46,9 +50,35 @@ def test_token_counts(spark, odd):
 
 def test_splices_of_small_chunks():
     counter = token_counts.SplicingCounter(public_tokenizers.path("piece_bpe_32k.model"), chunk=50, overlap=4)
-    for t in TEXTS:
-        t = (t or "")[:4_000]
-        assert counter.count([t]) == [len(counter.model.encode(t))]
+    texts = [(t or "")[:4_000] for t in TEXTS]
+    assert counter.count(pa.array(texts)).tolist() == [len(counter.model.encode(t)) for t in texts]
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(20, 2), (50, 4), (100, 16)])
+def test_splices_of_random_texts(chunk, overlap):
+    rng = random.Random(chunk)
+    parts = ["a", "the ", " ", "\n", "x" * 30, "é", "▁", "word", "  ", "中", ".", "\r\n", "<s>", "\t", " \n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(150))) for _ in range(300)]
+    counter = token_counts.SplicingCounter(public_tokenizers.path("piece_bpe_32k.model"), chunk, overlap)
+    assert counter.count(pa.array(texts)).tolist() == [len(counter.model.encode(t)) for t in texts]
+
+
+def test_a_run_without_a_boundary_widens_no_further_than_it_must():
+    counter = token_counts.SplicingCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "the quick brown fox jumps over it " * 4_500 + "x" * 45_000 + " lazy dogs and other words" * 5_700
+    calls, starts = [], counter.starts
+    counter.starts = lambda t, a, b: calls.append(min(b, len(t)) - a) or starts(t, a, b)
+    assert counter.count(pa.array([text])).tolist() == [len(counter.model.encode(text))]
+    assert max(calls) < 2 * 45_000 and sum(calls) < 2 * len(text)
+
+
+def test_filters_on_a_judgement_end(spark):
+    began = time.monotonic()
+    rows = QUERIES["op2_quality_rules"](spark, DATA).collect()
+    for condition, want in (("kept", [r for r in rows if r["kept"]]), ("base_failed", [r for r in rows if r["base_failed"]]), ("kept AND n_words > 100", [r for r in rows if r["kept"] and r["n_words"] > 100])):
+        judged = QUERIES["op2_quality_rules"](spark, DATA).where(condition)
+        assert sorted(map(tuple, judged.collect())) == sorted(map(tuple, want)) and judged.count() == len(want)
+    assert time.monotonic() - began < 120
 
 
 def test_lattice_scores(spark, odd):
@@ -65,7 +95,30 @@ def test_lattice_scores(spark, odd):
         got_rows = sorted(tuple(r)[:6] for r in got)
         assert [r[:5] for r in got_rows] == [r[:5] for r in want]
         assert [r[5] for r in got_rows] == pytest.approx([r[5] for r in want])
-        assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+        assert {r["doc_id"]: r["score"] for r in got if r["doc_id"] % 7 == 0} == pytest.approx(plain_scores(docs, words, held))
+
+
+def plain_scores(docs, words, held):
+    """log10 probabilities by the forward recursion over each word, with pieces counted in the training words."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    used = Counter(i for ws, h in zip(words, held, strict=True) if not h for w in ws for i in ([model.eos_id()] if w is None else model.encode(w)))
+    n = model.get_piece_size()
+    p = {i: (used[i] + lattice_lm.SMOOTHING) / (used.total() + lattice_lm.SMOOTHING * n) for i in range(n)}
+    ids = {model.id_to_piece(i): i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    @functools.cache
+    def log10(word):
+        if word is None:
+            return np.log10(p[model.eos_id()])
+        text, alpha = "▁" + word, [0.0]
+        for j, ch in enumerate(text):
+            terms = [alpha[i] + np.log(p[ids[text[i : j + 1]]]) for i in range(max(0, j - 20), j + 1) if text[i : j + 1] in ids]
+            if ch not in ids:
+                terms.append(alpha[j] + sum(np.log(p[model.piece_to_id(f"<0x{b:02X}>")]) for b in ch.encode()))
+            alpha.append(np.logaddexp.reduce(terms))
+        return alpha[-1] / np.log(10)
+
+    return {r["doc_id"]: sum(map(log10, ws)) for r, ws in zip(docs, words, strict=True) if r["doc_id"] % 7 == 0}
 
 
 def test_lattice_sums_all_segmentations():
@@ -185,12 +238,22 @@ def test_best_boundaries():
         cost = lambda bounds: sum(c * (min(b for b in bounds if b >= g) - g) for g, c in zip(grid, counts, strict=True))
         for k in (1, 2, 3, 9):
             best = min(cost([*b, grid[-1]]) for b in itertools.combinations(grid[:-1], min(k, 7) - 1))
-            assert cost(length_buckets.best_boundaries(grid, counts, counts * grid, k)) == best
+            assert cost(length_buckets.best_boundaries(grid.tolist(), counts.tolist(), (counts * grid).tolist(), k)) == best
+
+
+def least_padding(lengths, k):
+    """By plain dynamic programming over distinct lengths, of k boundaries at most."""
+    cells = sorted(Counter(max(1, n) for n in lengths).items())
+    cost = {0: 0}
+    for _ in range(k):
+        cost = {j: min(cost[i] + sum((cells[j - 1][0] - n) * c for n, c in cells[i:j]) for i in cost if i < j) if j else 0 for j in range(len(cells) + 1)}
+    return cost[len(cells)] + sum(n == 0 for n in lengths)
 
 
 def test_buckets(spark, odd):
     for folder in (DATA, odd):
         rows = QUERIES["op8_length_buckets"](spark, folder).collect()
+        assert sum(r["padding"] for r in rows) == least_padding([r["length"] for r in rows], length_buckets.N_BUCKETS)
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in documents(spark, folder))
         assert all(r["length"] <= r["boundary"] and r["padding"] == r["boundary"] - r["length"] for r in rows)
         batches = Counter((r["bucket"], r["boundary"], r["batch"]) for r in rows)
