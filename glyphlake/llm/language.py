@@ -2,15 +2,16 @@
 
 Texts, lower-cased, become hashed counts of 1- to 3-grams of characters, weighted (1 + log tf) * idf and scaled
 to length 1. Document frequencies count every training document. Weights are learned by
-follow-the-regularised-leader with an elastic net (most stay zero) on a bounded sample, at most about
-PER_LANGUAGE documents of each language, drawn by a hash of doc_id; every fifth of them is kept back, and
+follow-the-regularised-leader with an elastic net (most stay zero) on a bounded sample, at most PER_LANGUAGE
+documents of each language and SAMPLE in all, those with the least hashes of doc_id and text; every fifth is kept back, and
 on these one temperature is calibrated. Predictions read whole texts, and nothing but the text. In the pipeline,
 texts go whose score is below halfway from chance, 1 / number of languages, to the low scores of rightly told
 kept-back documents.
 
 Scale: one pass gathers document frequencies (a vector of DIM counts per task, summed by Spark) and the
-sample's count vectors (at most DIM entries each); the driver holds DIM numbers and the sample. Prediction
-is one more pass without a shuffle.
+sample's count vectors (at most DIM entries each); the driver holds DIM numbers, a row and DIM weights for each
+language, of which some hundreds are meant, and the sample. Repeated rows are one document of the sample, and null
+ids are told apart by their texts. Prediction is one more pass without a shuffle.
 
 Defined results: a text that is null or has no letter gives `und` with score 0; without any labelled
 training document every text gives `und`; repeated rows get equal results; ties go to the language that is
@@ -27,13 +28,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, table
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-#: Bound of the training sample, for each language.
-PER_LANGUAGE = 1000
+#: Bounds of the training sample, for each language and in all; one document of each language at least.
+PER_LANGUAGE, SAMPLE = 1000, 8000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
@@ -112,43 +114,51 @@ def least_score(scores: np.ndarray, n_languages: int) -> float:
     return (chance + float(np.quantile(scores, LOW))) / 2 if len(scores) else chance
 
 
+def bounded(rows: DataFrame, per_language: int) -> DataFrame:
+    """Of (h, lang, ...) the rows with the least h, so many of each lang at most; a task drops the others before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= per_language).drop("_place")
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Learns from (doc_id, text, lang); None if nothing is labelled."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    h = F.xxhash64("doc_id", "text")
+    sizes = {r["lang"]: max(1, r["n"]) for r in train.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    # hash below this: drawn; all if a language has few documents
-    shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20)
-    rows = train.select("doc_id", "text", "lang", drawn.alias("drawn"))
+    per_language = max(1, min(per_language, SAMPLE // len(languages)))
+    # hash below this: looked at more closely; all if a language has few different documents
+    shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_language / sizes[k])))])
+    rows = train.select(h.alias("h"), "text", "lang", (F.pmod(h, F.lit(1 << 40)) < F.element_at(shares, F.col("lang")) * float(1 << 40)).alias("drawn"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(DIM, dtype=np.int64)
-        seen = 0
+        seen, known = 0, set()
         for batch in batches:
             sample = []
-            for doc_id, text, lang, take in zip(batch["doc_id"], batch["text"], batch["lang"], batch["drawn"], strict=True):
+            for h, text, lang, take in zip(batch["h"], batch["text"], batch["lang"], batch["drawn"], strict=True):
                 counts = gram_counts(text)
                 idx = np.flatnonzero(counts)
                 df[idx] += 1
                 seen += 1
-                if take:
-                    sample.append((doc_id, lang, idx, counts[idx]))
-            yield pd.DataFrame(sample, columns=["doc_id", "lang", "idx", "tf"])
+                if take and (h, lang) not in known:
+                    known.add((h, lang))
+                    sample.append((h, lang, idx, counts[idx]))
+            yield pd.DataFrame(sample, columns=["h", "lang", "idx", "tf"])
         if seen:
-            yield pd.DataFrame([(seen, None, np.flatnonzero(df), df[df > 0])], columns=["doc_id", "lang", "idx", "tf"])
+            yield pd.DataFrame([(seen, None, np.flatnonzero(df), df[df > 0])], columns=["h", "lang", "idx", "tf"])
 
-    gathered = materialize(rows.mapInPandas(gather, "doc_id bigint, lang string, idx array<int>, tf array<bigint>"))
+    gathered = materialize(rows.mapInPandas(gather, "h bigint, lang string, idx array<int>, tf array<bigint>"))
     sums = gathered.where("lang IS NULL")
-    seen = sums.agg(F.sum("doc_id")).first()[0] or 0
+    seen = sums.agg(F.sum("h")).first()[0] or 0
     df = np.zeros(DIM)
     pairs = sums.select(F.explode(F.arrays_zip("idx", "tf")).alias("p")).groupBy("p.idx").agg(F.sum("p.tf").alias("n"))
     for r in pairs.collect():  # at most DIM rows
         df[r["idx"]] = r["n"]
     idf = np.log((1 + seen) / (1 + df)) + 1
-    sample = gathered.where("lang IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").select("lang", "idx", "tf")
+    sample = bounded(gathered.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]), per_language).orderBy("h", "lang").select("lang", "idx", "tf")
     data = []
     for batch in sample.toArrow().to_batches():  # arrays all the way: as Python numbers the sample takes ten times as much
         for lang, idx, tf in zip(batch["lang"].to_pylist(), batch["idx"], batch["tf"], strict=True):
