@@ -8,7 +8,8 @@ cosine threshold, bound / (query norm x level norm), decides: from COORDINATE_FR
 coordinates and Cauchy-Schwarz over the rest leave few candidates, below it only lengths prune. What
 remains is verified by exact integer products.
 
-Scale: queries go in blocks of QUERY_BLOCK, so a task holds one shard and one block. Only the seed (at
+Scale: queries of a level go in blocks of about QUERY_BLOCK, so a task holds one shard and one block, and a level's
+candidates are sent once to each block of the queries that visit it, not at all if none does. Only the seed (at
 most SEED_ROWS vectors) and one row per level go through the driver.
 
 Defined results: vectors that are null or have null or non-finite components, and null ids, take no part;
@@ -32,7 +33,7 @@ K = 5
 SCALE = 256
 QUERY_EVERY = 50
 LEVEL_BASE = 1.1
-SHARD_ROWS, QUERY_BLOCK, SEED_ROWS = 8192, 4096, 1024
+SHARD_ROWS, QUERY_BLOCK, SEED_ROWS = 16_384, 8192, 1024
 COORDINATE_FROM, FOCUS = 0.8, 8
 
 
@@ -109,17 +110,18 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     asked = queries.select(F.col("vec_id").alias("query_id"), "v", "dim", "norm2")
     asked = asked.mapInPandas(bounded, "query_id bigint, v array<double>, dim int, norm2 double, bound double")
     shards = {(r["dim"], r["level"]): -(-r["count"] // shard_rows) for r in levels}
-    n_blocks = -(-queries.count() // query_block)
     hashed = lambda c, n: F.pmod(F.xxhash64(c), n)
     # where a query goes: all shards of the levels of its dimension that can reach its bound
     places = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(lv).alias("level"), F.lit(n).alias("shards"), F.lit(LEVEL_BASE ** (lv + 1) if lv >= 0 else 0.0).alias("most2")) for (d, lv), n in sorted(shards.items())])
     can = lambda p: (p["dim"] == F.col("dim")) & ((F.col("bound") <= 0) | (F.sqrt(p["most2"] * F.col("norm2")) * 1.000001 >= F.col("bound")))
-    asked = asked.withColumn("place", F.explode(F.filter(places, can))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("place.shards") - 1)))
-    asked = asked.select("query_id", "v", "norm2", "bound", "dim", F.col("place.level").alias("level"), "shard", hashed("query_id", F.lit(max(n_blocks, 1))).alias("block"))
-    split = F.create_map(*[x for (d, lv), n in sorted(shards.items()) for x in (F.lit(f"{d}/{lv}"), F.lit(n))])
-    n_shards = F.element_at(split, F.concat_ws("/", "dim", "level"))
-    rows = candidates.withColumn("shard", hashed("vec_id", n_shards).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks, 1) - 1)))).withColumn("block", F.col("block").cast("bigint"))
+    asked = materialize(asked.withColumn("place", F.explode(F.filter(places, can))).select("query_id", "v", "norm2", "bound", "dim", F.col("place.level").alias("level"), F.col("place.shards").alias("shards")))
+    blocks = {(r["dim"], r["level"]): -(-r["count"] // query_block) for r in asked.groupBy("dim", "level").count().collect()}
+    if not blocks:
+        return candidates.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    of_level = lambda numbers: F.try_element_at(F.create_map(*[x for (d, lv), n in sorted(numbers.items()) for x in (F.lit(f"{d}/{lv}"), F.lit(n))]), F.concat_ws("/", "dim", "level"))
+    asked = asked.withColumn("block", hashed("query_id", of_level(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    rows = candidates.withColumn("shard", hashed("vec_id", of_level(shards)).cast("int")).withColumn("blocks", of_level(blocks)).where("blocks IS NOT NULL")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     keys = ["dim", "level", "shard", "block"]
 
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
