@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.codepoints import codepoint_char, normalize_query
+from .functions.codepoints import codepoint_char, is_codepoint_query, normalize_query, routed_query
 from .operators import browse, graph, neighbours
 from .operators import search as texts
 from .operators.entry import Dictionary, entries
@@ -20,7 +20,7 @@ from .sources.images import embed
 
 def query_key(spark: SparkSession, query: str) -> DataFrame:
     """(codepoint) of what a user typed; raises ValueError if it names none."""
-    key = spark.range(1).select(normalize_query(F.lit(query)).alias("codepoint"))
+    key = spark.range(1).select(normalize_query(routed_query(F.lit(query))).alias("codepoint"))
     if key.first()["codepoint"] is None:
         raise ValueError(f"no character or code point: {query!r}")
     return key
@@ -34,8 +34,16 @@ def lookup(spark: SparkSession, d: Dictionary, query: str) -> DataFrame:
     return found
 
 
-def search(d: Dictionary, query: str, limit: int = 50) -> DataFrame:
-    return texts.search(d.fts_search, d.character_meanings, query, limit)
+def search(d: Dictionary, query: str, limit: int = 50, fold: bool = False) -> DataFrame:
+    """Hits of a phrase; with fold, letters count as equal whatever their diacritics."""
+    return texts.search(d.fts_search, d.character_meanings, query, limit, fold)
+
+
+def submit(spark: SparkSession, d: Dictionary, query: str, limit: int = 50) -> DataFrame:
+    """What the search bar gives: the entry of one character or code point, for anything else the hits of the phrase."""
+    if spark.range(1).select(is_codepoint_query(F.lit(query))).first()[0]:
+        return lookup(spark, d, query)
+    return search(d, query, limit)
 
 
 def variant_graph(spark: SparkSession, d: Dictionary, query: str) -> DataFrame:
@@ -59,6 +67,8 @@ def recognize_vector(anchors: DataFrame, class_index: DataFrame, vector: list[fl
 def recognize_image_files(spark: SparkSession, anchors: DataFrame, class_index: DataFrame, folder: str, model: str, k: int = 6) -> DataFrame:
     """(path, rank, codepoint, character, score) for every image of a folder."""
     glyphs = embed(read_glyphs(spark, folder), model).withColumn("query_id", -1 - F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1)))
+    # the model runs once for each image, though its vectors are counted, compared and named
+    glyphs = glyphs.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else glyphs.persist()
     hits = neighbours.decoded(neighbours.nearest_of_each(anchors, glyphs, k), class_index)
     named = hits.join(glyphs.select("query_id", "path"), "query_id")
     return named.select("path", "rank", "codepoint", codepoint_char(F.col("codepoint")).alias("character"), "score")

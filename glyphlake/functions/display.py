@@ -63,6 +63,11 @@ def school_grade(n: Column) -> Column:
     return F.when(n <= 6, primary).when(n >= 9, F.lit(NAMES)).when(n.isNotNull(), F.lit(SECONDARY))
 
 
+def radical_name(name: Column) -> Column:
+    """The name of a radical without the word for radical at its end; null gives an empty text."""
+    return F.regexp_replace(F.coalesce(name, F.lit("")), "部$", "")
+
+
 def shown(s: Column) -> Column:
     """A text that is worth showing: null if empty."""
     return F.nullif(s, F.lit(""))

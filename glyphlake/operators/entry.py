@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codepoints import codepoint_char, component_names
+from ..functions.codepoints import characters, codepoint_char, component_names, format_codepoint
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 
 
@@ -64,6 +64,18 @@ def variant_lists(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_codepoint").alias("codepoint")).agg(ordered.alias("variants"))
 
 
+def variant_categories(variants: Column, categories: tuple[str, ...] = ("variant", "semantic")) -> Column:
+    """struct of one list for each category that is shown, in the order of variants; others are left out."""
+    own = lambda k: F.filter(variants, lambda v: v["category"] == k)
+    return F.struct(*[own(k).alias(k) for k in categories])
+
+
+def ids_links(ids: Column, components: Column) -> Column:
+    """The characters of a description in order, as struct(char, codepoint, link): a link is one of components."""
+    codepoint = lambda c: format_codepoint(F.ascii(c))
+    return F.transform(characters(ids), lambda c: F.struct(c.alias("char"), codepoint(c).alias("codepoint"), F.coalesce(F.array_contains(components, codepoint(c)), F.lit(False)).alias("link")))
+
+
 def families(family: DataFrame) -> DataFrame:
     """(codepoint, family): only for those of more than one member by the size stored; a malformed list is null."""
     members = F.from_json("family_members_json", "array<string>")

@@ -17,7 +17,9 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import dot, scaled
 
-ANCHOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
+ANCHOR_BLOCK, QUERY_BLOCK = 32_768, 8_192
+#: Queries of a block that are scored at a time.
+AT_ONCE = 256
 
 
 def nearest(anchors: DataFrame, vector: list[float], k: int) -> DataFrame:
@@ -30,7 +32,8 @@ def nearest(anchors: DataFrame, vector: list[float], k: int) -> DataFrame:
 
 def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> Iterator[tuple[int, int, float]]:
     ids, q_ids = block["idx"].to_numpy(), queries["query_id"].to_numpy()
-    scores = np.round(np.vstack(queries["q"].to_numpy()) @ np.vstack(block["v"].to_numpy()).T, 6)
+    q, v = np.vstack(queries["q"].to_numpy()), np.vstack(block["v"].to_numpy()).T
+    scores = (row for at in range(0, len(q), AT_ONCE) for row in np.round(q[at : at + AT_ONCE] @ v, 6))
     for query_id, row in zip(q_ids, scores, strict=True):
         other = np.flatnonzero(ids != query_id)
         if len(other) > k:

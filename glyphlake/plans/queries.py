@@ -13,6 +13,7 @@ from ..functions import display
 from ..operators import activity, browse, graph, neighbours, ranges, search
 from ..operators import entry as entry_ops
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
+from ..sources.files import read_list
 from .fixtures import bound, dictionary, fixture, with_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +222,81 @@ def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("item_id", "w", cp.normalize_query(F.col("w")).alias("codepoint"), cp.is_codepoint_query(F.col("w")).alias("looked_up"))
 
 
+@query(r"""WITH q AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'u' || lower(hex(19968 + c_custkey)) WHEN 1 THEN ' u+' || hex(19968 + c_custkey) || ' ' WHEN 2 THEN chr((19968 + c_custkey)::INTEGER) ELSE c_name END AS q FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'search' ELSE 'lookup' END AS route, format('U+{:04X}', CASE WHEN c_custkey % 4 = 3 THEN unicode(q) ELSE 19968 + c_custkey END) AS codepoint FROM q""")
+def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    name = F.hex(key + 19968)
+    typed = F.when(key % 4 == 0, F.concat(F.lit("u"), F.lower(name))).when(key % 4 == 1, F.concat(F.lit(" u+"), name, F.lit(" ")))
+    typed = typed.when(key % 4 == 2, cp.codepoint_char(F.concat(F.lit("U+"), name))).otherwise(F.col("c_name"))
+    rows = fixture(spark, sf_dir, "customer").select("c_custkey", typed.alias("q"))
+    route = F.when(cp.is_codepoint_query(F.col("q")), "lookup").otherwise("search")
+    return rows.select("c_custkey", route.alias("route"), cp.normalize_query(cp.routed_query(F.col("q"))).alias("codepoint"))
+
+
+#: A token that stands with and without its diacritic in the texts.
+ACCENTED = "ción"
+
+
+@query(rf"""SELECT codepoint, hanja AS character FROM fts_search WHERE codepoint IS NOT NULL AND
+  contains(' ' || array_to_string(regexp_split_to_array(strip_accents(lower(coalesce(body, ''))), '[^\p{{L}}\p{{N}}]+'), ' ') || ' ', ' cion ')""")
+def phrase_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.phrase_search(bound(spark, sf_dir, "fts_search"), ACCENTED, fold=True).select("codepoint", F.col("hanja").alias("character"))
+
+
+CATEGORY = "CASE relation WHEN 'A' THEN 'variant' WHEN 'R' THEN 'semantic' ELSE 'other' END"
+
+
+@query(f"""WITH e AS (SELECT source_codepoint AS codepoint, {CATEGORY} AS category, relation || target_codepoint || target_character AS v FROM variant_edges)
+SELECT codepoint, {", ".join(f"coalesce(md5(string_agg(v, '|' ORDER BY v) FILTER (category = '{k}')), '') AS {k}" for k in ("variant", "semantic"))} FROM e GROUP BY codepoint""")
+def variant_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = bound(spark, sf_dir, "variant_edges").withColumn("relation_category", F.expr(CATEGORY))
+    lists = entry_ops.variant_lists(edges).select("codepoint", entry_ops.variant_categories(F.col("variants")).alias("v"))
+    text = lambda k: F.transform(f"v.{k}", lambda v: F.concat(v["relation"], v["target_codepoint"], v["target_character"]))
+    return lists.select("codepoint", *[F.when(F.size(f"v.{k}") > 0, F.md5(joined(text(k)))).otherwise("").alias(k) for k in ("variant", "semantic")])
+
+
+@query("""WITH c AS (SELECT doc_id, lang, i, ch, unicode(ch) AS u FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')
+), n AS (SELECT DISTINCT u FROM c WHERE lang = 'fr' AND u >= 128 AND u NOT BETWEEN 12272 AND 12287 AND u <> 12783
+), l AS (SELECT doc_id, i, ch, u IN (SELECT u FROM n) AS link FROM c)
+SELECT doc_id, count(*) FILTER (NOT link) AS n_plain, coalesce(string_agg(ch, '' ORDER BY i) FILTER (link), '') AS links FROM l GROUP BY doc_id""")
+def ids_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text <> ''")
+    described = docs.select(F.col("doc_id").cast("string").alias("codepoint"), F.col("text").alias("primary_ids"), "lang")
+    universe = described.where("lang = 'fr'").select(F.explode(cp.component_names(F.col("primary_ids"))).alias("codepoint")).distinct()
+    parts = entry_ops.components(described, universe)
+    shown = described.join(parts, "codepoint", "left").select("codepoint", entry_ops.ids_links(F.col("primary_ids"), F.col("components")).alias("c"))
+    links = F.array_join(F.transform(F.filter("c", lambda c: c["link"]), lambda c: c["char"]), "")
+    return shown.select(F.col("codepoint").cast("bigint").alias("doc_id"), F.size(F.filter("c", lambda c: ~c["link"])).cast("bigint").alias("n_plain"), links.alias("links"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS name FROM nation")
+def radical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    name = F.when(key % 3 == 1, F.concat("n_name", F.lit("部"))).when(key % 3 == 2, F.col("n_name"))
+    return fixture(spark, sf_dir, "nation").select("n_nationkey", display.radical_name(name).alias("name"))
+
+
+@query("""WITH e AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS keys FROM events GROUP BY user_id) SELECT user_id, array_to_string(keys[-8:], '|') AS shown FROM e""")
+def trail_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
+    trails = fixture(spark, sf_dir, "events").groupBy("user_id").agg(keys.alias("keys"))
+    return trails.select("user_id", joined(display.last_items(F.col("keys"))).alias("shown"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/]+)\.[^./]+$', 1) AS stem FROM pages")
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "pages").select("page_id", display.file_stem(F.col("url")).alias("stem"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type || '|' || user_id ELSE '' END AS items, (event_id % 3 = 1)::INTEGER * 2 AS n FROM events""")
+def stored_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    text = F.when(key % 3 == 0, F.lit(None).cast("string")).when(key % 3 == 1, F.concat(F.lit('["'), "event_type", F.lit('","'), F.col("user_id").cast("string"), F.lit('"]'))).otherwise(F.lit('["cut'))
+    rows = read_list(fixture(spark, sf_dir, "events").select("event_id", text.alias("text")), "text")
+    return rows.select("event_id", joined("items").alias("items"), F.size("items").alias("n"))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
 
