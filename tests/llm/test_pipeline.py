@@ -1,14 +1,22 @@
 from __future__ import annotations
 
+from collections import Counter
+
+import duckdb
+import public_tokenizers
+import sentencepiece
+
 import corpus_pipeline
+from glyphlake.llm import language, length_buckets, mixing
 from glyphlake.llm.common import materialize
 from glyphlake.llm.near_dup import near_duplicates
 from glyphlake.llm.quality import judge
 
 from ..conftest import DATA
+from .test_operators import least_padding
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -16,14 +24,30 @@ def test_stages(spark):
         docs = materialize(stage(spark, before, DATA))
         assert docs.columns == columns
         kept[name] = (before, docs)
+    before, after = kept["language"]
+    model = language.fit(before.where(~language.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    sure = {i for i, t in texts.items() if t and any(c.isalpha() for c in t) and model.probabilities(t).max() >= model.least}
+    assert {r["doc_id"] for r in after.collect()} == sure
     before, after = kept["quality"]
     want = {r["doc_id"] for r in judge(before.select("doc_id", "text")).where("kept").collect()}
     assert {r["doc_id"] for r in after.collect()} == want and want
     before, after = kept["near_dup"]
     groups = {r["group_id"] for r in near_duplicates(before.select("doc_id", "text")).collect()}
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(groups)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert packed.count() == docs.count() > 0
+    before, after = kept["mixing"]
+    before.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = [d[0] for d in con.execute(mixing.OP7_SQL).description]
+    mixed = [dict(zip(columns, r, strict=True)) for r in con.execute(mixing.OP7_SQL).fetchall()]
+    drawn = Counter(r["doc_id"] for r in after.collect())
+    assert all(drawn[r["doc_id"]] * r["size"] == r["taken"] for r in mixed) and set(drawn) <= {r["doc_id"] for r in mixed}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((r["doc_id"], len(library.encode(r["text"] or ""))) for r in docs.collect())
+    assert sorted((r["doc_id"], r["length"]) for r in packed) == want and want
+    assert sum(r["padding"] for r in packed) == least_padding([n for _, n in want], length_buckets.N_BUCKETS)
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd, empty):
