@@ -3,9 +3,10 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphlake import api
-from glyphlake.operators import activity, browse, graph, neighbours, ranges
+from glyphlake.operators import activity, browse, entry, graph, neighbours, ranges, search
 from glyphlake.operators.entry import Dictionary, entries
 from glyphlake.plans.queries import ORACLE_SQL, QUERIES
 from glyphlake.schemas import TABLES
@@ -51,6 +52,30 @@ def test_lookup(spark, d):
     assert e["grades"]["kr_education"] == "" and e["grades"]["jp_grade"] == 0
 
 
+def test_the_search_bar_routes(spark, d):
+    for typed in ("u9451", "U+9451", " u+9451 ", "鑑"):
+        assert api.submit(spark, d, typed).first()["codepoint"] == "U+9451"
+        assert api.lookup(spark, d, typed).first()["codepoint"] == "U+9451"
+    assert [tuple(r) for r in api.submit(spark, d, "mirror image").collect()] == [("U+9451", "鑑", "거울")]
+    with pytest.raises(KeyError):
+        api.submit(spark, d, "u0042")
+
+
+def test_diacritics_fold_only_if_asked(spark, d):
+    texts = spark.createDataFrame([("U+9451", "鑑", "Le Miroir brisé, à part"), ("U+91D1", "金", "a\u0300 part")], TABLES["fts_search"])
+    found = lambda phrase, fold: sorted(r["codepoint"] for r in search.phrase_search(texts, phrase, fold=fold).collect())
+    assert found("brise", False) == [] and found("brise", True) == found("BRISÉ", True) == ["U+9451"]
+    assert found("à part", True) == found("a part", True) == ["U+91D1", "U+9451"] and found("à part", False) == ["U+9451"]
+
+
+def test_variants_by_category_and_links(spark, d):
+    shown = entries(d).where("codepoint = 'U+9451'").select(entry.variant_categories(F.col("variants")).alias("v"), entry.ids_links(F.col("structure.primary_ids"), F.col("components")).alias("c")).first()
+    assert [len(shown["v"][k]) for k in ("variant", "semantic")] == [3, 1]
+    assert [(x["char"], x["link"]) for x in shown["c"]] == [("⿰", False), ("金", True), ("監", False), ("金", True)]
+    none = entries(d).where("codepoint = 'U+20000'").select(entry.ids_links(F.col("structure.primary_ids"), F.col("components")).alias("c")).first()
+    assert none["c"] == []
+
+
 def test_sparse_entries(spark, d):
     rows = {r["codepoint"]: r for r in entries(d).collect()}
     assert len(rows) == 4
