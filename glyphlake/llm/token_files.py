@@ -9,7 +9,7 @@ lost executor leaves no trace in it. Global starts are a prefix sum over the man
 
 Encoding: a boundary before a space that follows a character other than white space is one that the
 tokenizer's rule never crosses, so texts are cut there, equal pieces of some megabytes are encoded once by the
-library, and ids are put together by index. Texts with other white space before a space are encoded whole.
+library, and those of the last megabytes are kept, and ids are put together by index. Texts with other white space before a space are encoded whole.
 
 Scale: one shuffle, of the texts, by range; a task streams its texts and holds a block and its index.
 
@@ -40,8 +40,8 @@ from .common import materialize, shared_folder, slices, table
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 65_536
-#: Bytes of text that are encoded at a time.
-SLICE = 8 << 20
+#: Bytes of text that are encoded at a time, and of the pieces and ids that a process keeps.
+SLICE, KEPT = 16 << 20, 48 << 20
 MAGIC = b"GLPACK01"
 FOOTER = "<8sBIQQQQ"  # magic, bits, ids per block, blocks, documents, ids, place of the index
 #: White space before a space; the class holds every character that the tokenizer's rule takes as such.
@@ -76,6 +76,10 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,13 +110,13 @@ class PieceEncoder:
         heads = pc.if_else(whole, texts, words.take(pa.array(starts)))
         coded = words.dictionary_encode()
         unit = coded.indices.to_numpy().astype(np.int64)
-        known, known_ends = self._pieces(coded.dictionary)
+        place = self._look_up(coded.dictionary)
         head_ids = self._encode(heads.to_pylist())
-        # units: distinct pieces, then the texts' heads, then the end id
-        n_known = len(known_ends)
-        flat = np.concatenate([known, *[np.asarray(x, np.uint32) for x in head_ids], [END_ID]]).astype(np.uint32)
-        ends = np.concatenate([[0], known_ends, len(known) + np.cumsum([*[len(x) for x in head_ids], 1])]).astype(np.int64)
-        units = unit.copy()
+        # units: known pieces, then the texts' heads, then the end id
+        n_known = len(self.ends)
+        flat = np.concatenate([self.flat, *[np.asarray(x, np.uint32) for x in head_ids], [END_ID]]).astype(np.uint32)
+        ends = np.concatenate([[0], self.ends, len(self.flat) + np.cumsum([*[len(x) for x in head_ids], 1])]).astype(np.int64)
+        units = place[unit]
         units[starts] = n_known + np.arange(len(texts))
         after = np.append(starts[1:], len(units))
         units = np.insert(units, after, n_known + len(texts))
@@ -123,6 +127,22 @@ class PieceEncoder:
         return ids, np.diff(np.concatenate([[0], total[last]]))
 
 
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the known pieces; what is new is encoded and added."""
+        if self.known.nbytes + self.flat.nbytes + self.ends.nbytes > KEPT:
+            self._forget()
+        found = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(found))
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            ids, ends = self._pieces(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ends = np.concatenate([self.ends, len(self.flat) + ends])
+            self.flat = np.concatenate([self.flat, ids])
+        return place
+
+
 @lru_cache(maxsize=1)
 def _encoder(name: str) -> PieceEncoder:
     return PieceEncoder(public_tokenizers.path(name))
