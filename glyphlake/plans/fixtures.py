@@ -46,14 +46,21 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A dictionary table made of the driver's tables."""
-    used = {t: fixture(spark, sf_dir, t) for t in SOURCES if f"{{{t}}}" in BINDINGS[name]}
+def bound(spark: SparkSession, sf_dir: str, name: str, opened: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A dictionary table made of the driver's tables; opened keeps those that are open already, as opening one looks up its schema."""
+    opened = {} if opened is None else opened
+    used = {}
+    for t in SOURCES:
+        if f"{{{t}}}" in BINDINGS[name]:
+            if t not in opened:
+                opened[t] = fixture(spark, sf_dir, t)
+            used[t] = opened[t]
     return spark.sql(BINDINGS[name].replace("{agg}", f"array_join(array_sort(collect_list({_cp('s_suppkey')})), '\",\"')"), **used)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
-    return Dictionary(**{name: bound(spark, sf_dir, name) for name in Dictionary.__dataclass_fields__})
+    opened: dict[str, DataFrame] = {}
+    return Dictionary(**{name: bound(spark, sf_dir, name, opened) for name in Dictionary.__dataclass_fields__})
 
 
 def with_bindings(sql: str) -> str:

@@ -13,7 +13,8 @@ from ..functions import display
 from ..operators import activity, browse, graph, neighbours, ranges, search
 from ..operators import entry as entry_ops
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
-from ..sources.files import read_list
+from ..session import shared_folder
+from ..sources.files import read_class_index, read_list, write_json
 from .fixtures import bound, dictionary, fixture, with_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,6 +298,24 @@ def stored_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", joined("items").alias("items"), F.size("items").alias("n"))
 
 
+@query("SELECT 'U+' || hex(19968 + c_custkey) AS codepoint, c_custkey::INTEGER AS idx FROM customer")
+def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    pair = F.struct(F.concat(F.lit("U+"), F.hex(key + 19968)).alias("codepoint"), key.cast("int").alias("idx"))
+    objects = fixture(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value"))
+    path = shared_folder(spark)
+    objects.write.partitionBy("c_nationkey").text(path)  # an object is a file of its own
+    return read_class_index(spark, path)
+
+
+@query("SELECT * FROM character_grades")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bound(spark, sf_dir, "character_grades")
+    path = shared_folder(spark)
+    write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
 
