@@ -72,8 +72,9 @@ def variant_categories(variants: Column, categories: tuple[str, ...] = ("variant
 
 def ids_links(ids: Column, components: Column) -> Column:
     """The characters of a description in order, as struct(char, codepoint, link): a link is one of components."""
-    codepoint = lambda c: format_codepoint(F.ascii(c))
-    return F.transform(characters(ids), lambda c: F.struct(c.alias("char"), codepoint(c).alias("codepoint"), F.coalesce(F.array_contains(components, codepoint(c)), F.lit(False)).alias("link")))
+    named = F.transform(characters(ids), lambda c: F.struct(c.alias("char"), format_codepoint(F.ascii(c)).alias("codepoint")))
+    linked = lambda x: F.coalesce(F.array_contains(components, x["codepoint"]), F.lit(False))
+    return F.transform(named, lambda x: F.struct(x["char"].alias("char"), x["codepoint"].alias("codepoint"), linked(x).alias("link")))
 
 
 def families(family: DataFrame) -> DataFrame:
