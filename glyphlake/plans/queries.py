@@ -14,7 +14,7 @@ from ..operators import activity, browse, graph, neighbours, ranges, search
 from ..operators import entry as entry_ops
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
-from ..sources.files import read_class_index, read_list, write_json
+from ..sources.files import npy_files, npy_rows, read_class_index, read_list, write_json
 from .fixtures import bound, dictionary, fixture, with_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,15 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
+@query("""SELECT (vec_id // 512)::VARCHAR AS file, (row_number() OVER (PARTITION BY vec_id // 512 ORDER BY vec_id) - 1)::INTEGER AS idx, len(embedding)::INTEGER AS n,
+list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT))::BIGINT AS total FROM embeddings""")
+def npy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.floor(F.col("vec_id") / 512).cast("string").alias("path")
+    matrices = npy_files(fixture(spark, sf_dir, "embeddings").select(path, F.col("vec_id").alias("idx"), "embedding"))
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x.cast("double") * 1000000).cast("bigint"))
+    return npy_rows(matrices).select("file", "idx", F.size("embedding").alias("n"), total.alias("total"))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
 

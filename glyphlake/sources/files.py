@@ -30,8 +30,8 @@ def read_class_index(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,int>")).alias("codepoint", "idx"))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, embedding) of 32-bit matrices in NumPy's format; a file is one task, so large sets are many files."""
+def npy_rows(files: DataFrame) -> DataFrame:
+    """(file, idx, embedding) of (path, content): 32-bit matrices in NumPy's format; a file is one task, so large sets are many files."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -41,7 +41,22 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                     part = matrix[at : at + 4096].astype("float32")
                     yield pd.DataFrame({"file": file, "idx": np.arange(at, at + len(part), dtype="int32"), "embedding": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, idx int, embedding array<float>")
+    return files.select("path", "content").mapInPandas(rows, "file string, idx int, embedding array<float>")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    return npy_rows(spark.read.format("binaryFile").load(path))
+
+
+def npy_files(vectors: DataFrame) -> DataFrame:
+    """(path, content) of (path, idx, embedding): the vectors of a path, in the order of idx, as one matrix; a path is one task."""
+
+    def saved(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.stack(group.sort_values("idx")["embedding"]).astype("float32"))
+        return pd.DataFrame({"path": group["path"].iloc[:1], "content": [out.getvalue()]})
+
+    return vectors.select("path", "idx", "embedding").groupBy("path").applyInPandas(saved, "path string, content binary")
 
 
 def read_glyphs(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
