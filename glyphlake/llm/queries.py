@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .chat_format import op6_chat_format
+from .fill_middle import OP13_SQL, op13_fill_middle
 from .language import op5_language_id
 from .lattice_lm import op3_lattice_score
 from .length_buckets import op8_length_buckets
+from .lexical import OP11_SQL, op11_lexical_search
+from .license_scan import OP12_SQL, op12_license_scan
 from .mixing import OP7_SQL, op7_source_mixing
 from .near_dup import op9_near_duplicates
 from .quality import OP2_SQL, op2_quality_rules
@@ -26,6 +29,16 @@ QUERIES = {
         op8_length_buckets,
         op9_near_duplicates,
         op10_norm_retrieval,
+        op11_lexical_search,
+        op12_license_scan,
+        op13_fill_middle,
     )
 }
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op7_source_mixing": OP7_SQL, "op10_norm_retrieval": OP10_SQL}
+ORACLE_SQL = {
+    "op2_quality_rules": OP2_SQL,
+    "op7_source_mixing": OP7_SQL,
+    "op10_norm_retrieval": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
+    "op13_fill_middle": OP13_SQL,
+}
