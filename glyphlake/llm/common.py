@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *read: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns that are read, and all others in one struct, so that a stage's own names meet no other.
+
+    The second result gives a frame that still has those columns the columns of docs back, in their order. A column
+    that is read but missing is null in between.
+    """
+    own = {c: F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string").alias(c) for c in read}
+    others = [c for c in docs.columns if c not in read]
+    slim = docs.select(*own.values(), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others")) if others else docs.select(*own.values())
+    at = lambda c: F.col(c) if c in read else F.col("_others").getField(c).alias(c)
+    return slim, lambda df: df.select(*map(at, docs.columns))
+
+
 def word_array(text: Column) -> Column:
     """Words of text (null: none), in order."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import apart, materialize, table
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
@@ -215,5 +215,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is told with some certainty."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    told = docs.withColumn("_told", predict(F.col("text"), model))
-    return told.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= (model.least if model else 0.0))).select(*docs.columns)
+    slim, whole = apart(docs, "text")
+    told = slim.withColumn("_told", predict(F.col("text"), model))
+    return whole(told.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= (model.least if model else 0.0))))

@@ -8,7 +8,8 @@ integers, and each crossing emits the document once. As neighbours in that order
 words taken come near the target.
 
 Scale: no window holds a source; ranks come from 64 shards of each size level and a prefix sum over their
-counts (at most sources x levels x shards rows). Only doc_id, size and source are shuffled.
+counts (at most sources x levels x shards rows). The query shuffles doc_id, size and source only; the stage, which
+ranks whole rows, shuffles their texts too.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated
 rows and ties are each a document; an empty table gives an empty result. Other columns are not looked at.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SHARDS, materialize, md5_number, ranked, table, word_count
+from .common import SHARDS, apart, materialize, md5_number, ranked, table, word_count
 
 MAX_REPEAT = 3
 SEED = "mix-1"
@@ -68,9 +69,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as it is drawn, with the columns it had."""
-    drawn = mix(docs.withColumn("_size", word_count(F.col("text")))).where("_copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as it is drawn, with the columns it had, whatever their names."""
+    slim, whole = apart(docs, "doc_id", "source", "text")
+    drawn = mix(slim.withColumn("_size", word_count(F.col("text")))).where("_copies > 0")
+    return whole(drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 #: The same in DuckDB's SQL.

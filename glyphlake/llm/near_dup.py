@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mixed, table
+from .common import apart, materialize, mixed, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -380,7 +380,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = materialize(grouped(docs.select("doc_id", "text")).select("doc_id", content, "root"))
     of_groups = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "_content")).alias("m")).select("m.*")
     kept = of_groups.unionByName(groups.where("root IS NULL AND doc_id IS NOT NULL").select("doc_id", "_content").distinct())
-    keyed = docs.withColumn("_content", F.coalesce(_content(F.col("text")), F.lit(b"")))
+    slim, whole = apart(docs, "doc_id", "text")
+    keyed = slim.withColumn("_content", F.coalesce(_content(F.col("text")), F.lit(b"")))
     one = F.row_number().over(Window.partitionBy("doc_id", "_content").orderBy("text"))
-    first = keyed.join(kept, ["doc_id", "_content"], "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    first = whole(keyed.join(kept, ["doc_id", "_content"], "left_semi").withColumn("_one", one).where("_one = 1"))
     return first.unionByName(docs.where("doc_id IS NULL"))

@@ -6,6 +6,8 @@ import duckdb
 import public_tokenizers
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from glyphlake.llm import language, length_buckets, mixing
 from glyphlake.llm.common import materialize
@@ -56,3 +58,18 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = materialize(stage(spark, docs, folder))
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+CLASHES = ["_size", "_copy", "_copies", "_told", "_content", "_shard", "_local", "_before", "_source", "_level", "_rank", "_source_size", "_target", "_offset", "_one", "_n", "_others", "_judged", "kept", "length", "bucket", "size", "root", "row", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every extra column comes through with the value that belongs to its document."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}/"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, DATA))
+        assert docs.schema.simpleString() == before.schema.simpleString(), name
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}/{r['doc_id']}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(rows)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import fill_middle, lexical, license_scan
+from glyphlake.llm import fill_middle, lexical, license_scan, retrieval
+from glyphlake.llm.common import materialize
 from glyphlake.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import DATA, plain
@@ -108,3 +111,25 @@ def test_repeated_reads_agree(spark, name):
     assert name in ORACLE_SQL
     found = QUERIES[name](spark, DATA)
     assert rows(found) == rows(found)
+
+
+@pytest.mark.parametrize("scale", [2.0**-8, 3_000_000.0, 2.0**40, 2.0**100])
+def test_products_are_exact_whatever_their_size(spark, scale):
+    """Components from fractions to beyond 64 bits, with repeated ids, against integers of any size."""
+    rng = random.Random(7)
+    rows = [(i // 2 * 25, [float(np.float32(rng.choice([1, -1, 3, 0.5]) * scale * (1 + rng.randrange(50) / 2**20))) for _ in range(3)]) for i in range(60)]
+    rows += [(0, [3000001.0, 2000001.0, 1 / 256]), (1, [3000003.0, 4999999.0, 7 / 256]), (2, [3000003.0, 4999999.0, 8 / 256])]
+    vectors = retrieval.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).withColumn("row", F.monotonically_increasing_id())
+    vectors = materialize(vectors)
+    got = retrieval.top_k(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=9, query_block=4, seed_rows=8).collect()
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    want = []
+    for a, (query_id, q) in enumerate(whole):
+        if query_id % 50 == 0:
+            scores = [(sum(x * y for x, y in zip(q, c, strict=True)), i) for b, (i, c) in enumerate(whole) if b != a]
+            clipped = [(min(max(s, -(2**63)), 2**63 - 1), i) for s, i in scores]
+            want += [(query_id, rank + 1, i, s) for rank, (s, i) in enumerate(sorted(clipped, key=lambda x: (-x[0], x[1]))[:5])]
+    if scale < 2.0**40:
+        assert sorted(map(tuple, got)) == sorted(want)
+    else:  # beyond 64 bits scores are equal, so only they are told
+        assert sorted((r["query_id"], r["score"]) for r in got) == sorted((q, s) for q, _, _, s in want)
