@@ -14,6 +14,7 @@ from .functions.codepoints import codepoint_char, is_codepoint_query, normalize_
 from .operators import browse, graph, neighbours
 from .operators import search as texts
 from .operators.entry import Dictionary, entries
+from .operators.phrase_index import PhraseIndex
 from .sources.files import read_glyphs
 from .sources.images import embed
 
@@ -34,8 +35,10 @@ def lookup(spark: SparkSession, d: Dictionary, query: str) -> DataFrame:
     return found
 
 
-def search(d: Dictionary, query: str, limit: int = 50, fold: bool = False) -> DataFrame:
-    """Hits of a phrase; with fold, letters count as equal whatever their diacritics."""
+def search(d: Dictionary, query: str, limit: int = 50, fold: bool = False, index: PhraseIndex | None = None) -> DataFrame:
+    """Hits of a phrase; with fold, letters count as equal whatever their diacritics. An index, if given, is read instead of the texts."""
+    if index is not None:
+        return texts.with_gloss(index.search(query), d.character_meanings, limit)
     return texts.search(d.fts_search, d.character_meanings, query, limit, fold)
 
 

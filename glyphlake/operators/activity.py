@@ -1,8 +1,8 @@
-"""What a user did: recently viewed keys, settled events, changes of key, the freeze switch, the back stack.
+"""What a user did: recently viewed keys, settled events, changes of key, the freeze switch, the latest events.
 
 Input: user_id, key, ts, event_id; equal times stand in the order of event_id. A user may have a third of all
-events, so no window holds a user's events: they are aggregated by (user, key) or by (user, cell of time)
-first, and windows run over those rows.
+events, so no window holds a user's events: they are aggregated by (user, key) or by (user, cell) first, and windows
+run over those rows. Cells are as long as a gap, or hold about as many rows each (sequences.in_cells).
 
 Nulls: a null user_id is a user like any other, and a null ts or event_id stands after all others of its user. An
 event without ts is settled, as none follows it by a known time.
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sequences import CELL_ROWS, in_cells, just_before, running_count
+
 RECENT = 14
-CELL = "1 day"
 
 
 def _late() -> Column:
@@ -23,16 +24,6 @@ def _late() -> Column:
     return F.struct(F.col("ts").isNull(), "ts", F.col("event_id").isNull(), "event_id")
 
 
-def _in_order() -> list[Column]:
-    return [F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
-
-
-def _with_cells(events: DataFrame, cells: DataFrame) -> DataFrame:
-    """events with what cells has for the same (user_id, _cell), nulls being equal to each other."""
-    right = cells.withColumnsRenamed({"user_id": "_user", "_cell": "_of"})
-    return events.join(right, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_cell").eqNullSafe(F.col("_of"))).drop("_user", "_of")
-
-
 def recent(events: DataFrame, n: int = RECENT) -> DataFrame:
     """(user_id, key, ts, place): each user's n latest keys, each once, the latest first."""
     last = events.groupBy("user_id", "key").agg(F.max(F.struct("ts", "event_id")).alias("l")).select("user_id", "key", "l.ts", "l.event_id")
@@ -56,27 +47,23 @@ def settled(events: DataFrame, gap_seconds: int) -> DataFrame:
     return timed.unionByName(events.where(F.col("ts").isNull()))
 
 
-def _cell(ts: Column) -> Column:
-    return F.date_trunc("day", ts)
-
-
-def changes(events: DataFrame) -> DataFrame:
+def changes(events: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """events with previous (the user's key just before, null at first): only those whose key is another one."""
-    cells = events.withColumn("_cell", _cell(F.col("ts")))
-    lasts = cells.groupBy("user_id", "_cell").agg(F.max_by(F.struct("key"), _late()).alias("_key"))
-    lasts = lasts.select("user_id", "_cell", F.lag("_key").over(Window.partitionBy("user_id").orderBy(F.col("_cell").asc_nulls_last())).alias("_earlier"))
-    near = F.lag(F.struct("key")).over(Window.partitionBy("user_id", "_cell").orderBy(*_in_order()))
-    joined = _with_cells(cells.withColumn("_near", near), lasts)
-    previous = F.coalesce("_near", "_earlier")["key"]  # structs, so that a null key is a key too
-    return joined.withColumn("previous", previous).where(~F.col("key").eqNullSafe(F.col("previous"))).drop("_cell", "_near", "_earlier")
+    joined = just_before(in_cells(events, cell_rows), F.col("key"), "_previous")
+    previous = F.col("_previous")["v"]  # a struct, so that a null key is a key too
+    return joined.withColumn("previous", previous).where(~F.col("key").eqNullSafe(F.col("previous"))).drop("_cell", "_previous")
 
 
-def unfrozen(events: DataFrame, is_click: Column, is_move: Column) -> DataFrame:
+def unfrozen(events: DataFrame, is_click: Column, is_move: Column, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The moves that count: those after an even number of the user's clicks."""
-    cells = events.withColumns({"_cell": _cell(F.col("ts")), "_click": F.coalesce(is_click.cast("int"), F.lit(0)), "_move": is_move})
-    before = Window.partitionBy("user_id").orderBy(F.col("_cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy("user_id", "_cell").agg(F.sum("_click").alias("_n"))
-    sums = sums.select("user_id", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    running = F.sum("_click").over(Window.partitionBy("user_id", "_cell").orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, 0))
-    joined = _with_cells(cells.withColumn("_running", running), sums)
-    return joined.where(F.col("_move") & ((F.col("_before") + F.col("_running")) % 2 == 0)).select(*events.columns)
+    flagged = events.withColumns({"_click": is_click, "_move": is_move})
+    counted = running_count(in_cells(flagged, cell_rows), F.col("_click"), "_clicks")
+    return counted.where(F.col("_move") & (F.col("_clicks") % 2 == 0)).select(*events.columns)
+
+
+def latest(events: DataFrame, n: int) -> DataFrame:
+    """(user_id, items): each user's n latest events as (ts, event_id), in order; a task sends at most n for each user."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc_nulls_first(), F.col("event_id").desc_nulls_first()))
+    last = events.select("user_id", "ts", "event_id", place.alias("_place")).where(F.col("_place") <= n)
+    items = F.array_sort(F.collect_list(F.struct(-F.col("_place"), "ts", "event_id")))
+    return last.groupBy("user_id").agg(F.transform(items, lambda x: F.struct(x["ts"].alias("ts"), x["event_id"].alias("event_id"))).alias("items"))

@@ -20,14 +20,14 @@ def phrase_tokens(phrase: str) -> list[str]:
     return [t for t in regex.split(SEPARATORS, unicodedata.normalize("NFC", phrase).lower()) if t]
 
 
-def _base(char: str) -> str:
+def base_letters(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
 
 
 @lru_cache(maxsize=1)
 def _accented() -> tuple[str, str]:
     """Lower-case letters that are one base letter with diacritics, and those bases, in the same order."""
-    pairs = [(c, _base(c)) for c in map(chr, range(0xC0, 0x2000)) if c == c.lower() and c.isalpha()]
+    pairs = [(c, base_letters(c)) for c in map(chr, range(0xC0, 0x2000)) if c == c.lower() and c.isalpha()]
     pairs = [(c, b) for c, b in pairs if len(b) == 1 and b != c]
     return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
@@ -48,7 +48,7 @@ def has_phrase(text: Column, phrase: str, fold: bool = False) -> Column:
 
     With fold, letters count as equal whatever their diacritics.
     """
-    tokens = phrase_tokens(_base(phrase) if fold else phrase)
+    tokens = phrase_tokens(base_letters(phrase) if fold else phrase)
     if not tokens:
         return F.lit(False)
     plain = F.coalesce(text, F.lit(""))
@@ -67,6 +67,11 @@ def phrase_search(texts: DataFrame, phrase: str, key: str = "codepoint", columns
 
 def search(texts: DataFrame, meanings: DataFrame, phrase: str, limit: int = 50, fold: bool = False) -> DataFrame:
     """(codepoint, character, gloss): the first hits by code point; a blank phrase has none."""
-    hits = phrase_search(texts, phrase, fold=fold).select("codepoint", F.col("hanja").alias("character")).orderBy("codepoint", "character").limit(bounded_limit(limit, 200, 50))
+    return with_gloss(phrase_search(texts, phrase, fold=fold), meanings, limit)
+
+
+def with_gloss(hits: DataFrame, meanings: DataFrame, limit: int = 50) -> DataFrame:
+    """(codepoint, character, gloss) of the first hits (codepoint, hanja) by code point."""
+    hits = hits.select("codepoint", F.col("hanja").alias("character")).orderBy("codepoint", "character").limit(bounded_limit(limit, 200, 50))
     gloss = first_gloss(meanings.join(hits.select("codepoint"), "codepoint", "left_semi"))
     return hits.join(gloss, "codepoint", "left").select("codepoint", "character", F.coalesce("gloss", F.lit("")).alias("gloss")).orderBy("codepoint", "character")

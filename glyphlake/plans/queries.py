@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codepoints as cp
 from ..functions import display
-from ..operators import activity, browse, graph, neighbours, ranges, search
+from ..operators import activity, browse, graph, neighbours, phrase_index, ranges, search, sequences
 from ..operators import entry as entry_ops
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
@@ -245,6 +246,44 @@ def phrase_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase_search(bound(spark, sf_dir, "fts_search"), ACCENTED, fold=True).select("codepoint", F.col("hanja").alias("character"))
 
 
+#: Phrases of one to three tokens: common, rare, repeated, with marks between, in no text, without a token.
+PHRASES = ("on the", "the", "in the on", "the the", "Apache License, Version", "xyzzy on", "?!")
+
+
+def tokens_sql(column: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def any_phrase_sql(phrases: dict[str, str], text: str) -> str:
+    """Rows of fts_search for each phrase, given with its tokens, that stands in hanja or body."""
+    spaced = lambda c: rf"' ' || array_to_string(regexp_split_to_array({text.format(c=c)}, '[^\p{{L}}\p{{N}}]+'), ' ') || ' '"
+    asked = ", ".join(f"('{p}', ' {t} ')" for p, t in phrases.items() if t)
+    return f"""SELECT p.phrase, f.codepoint, f.hanja AS character FROM fts_search f JOIN (VALUES {asked}) p(phrase, tokens)
+    ON contains({spaced("hanja")}, p.tokens) OR contains({spaced("body")}, p.tokens) WHERE f.codepoint IS NOT NULL"""
+
+
+def indexed(spark: SparkSession, sf_dir: str, phrases: tuple[str, ...], fold: bool) -> DataFrame:
+    index = phrase_index.write_index(bound(spark, sf_dir, "fts_search"), shared_folder(spark), fold=fold)
+    hits = [index.search(p).select(F.lit(p).alias("phrase"), "codepoint", F.col("hanja").alias("character")) for p in phrases]
+    return functools.reduce(DataFrame.unionByName, hits)
+
+
+@query(any_phrase_sql({p: " ".join(search.phrase_tokens(p)) for p in PHRASES}, "lower(coalesce({c}, ''))"))
+def phrase_index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir, PHRASES, fold=False)
+
+
+@query(any_phrase_sql({ACCENTED: "cion", "ON THÉ": "on the"}, "strip_accents(lower(coalesce({c}, '')))"))
+def phrase_index_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir, (ACCENTED, "ON THÉ"), fold=True)
+
+
+@query(f"""WITH t AS (SELECT codepoint, unnest(list_distinct({tokens_sql("hanja")})) AS token FROM fts_search UNION ALL
+SELECT codepoint, unnest(list_distinct({tokens_sql("body")})) AS token FROM fts_search) SELECT token, count(*) AS rows FROM t WHERE codepoint IS NOT NULL GROUP BY token""")
+def phrase_index_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.write_index(bound(spark, sf_dir, "fts_search"), shared_folder(spark)).tokens()
+
+
 CATEGORY = "CASE relation WHEN 'A' THEN 'variant' WHEN 'R' THEN 'semantic' ELSE 'other' END"
 
 
@@ -280,9 +319,9 @@ def radical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS keys FROM events GROUP BY user_id) SELECT user_id, array_to_string(keys[-8:], '|') AS shown FROM e""")
 def trail_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
-    trails = fixture(spark, sf_dir, "events").groupBy("user_id").agg(keys.alias("keys"))
-    return trails.select("user_id", joined(display.last_items(F.col("keys"))).alias("shown"))
+    trails = activity.latest(fixture(spark, sf_dir, "events"), 8)
+    keys = F.transform("items", lambda x: x["event_id"].cast("string"))
+    return trails.select("user_id", joined(display.last_items(keys)).alias("shown"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '([^/]+)\.[^./]+$', 1) AS stem FROM pages")
@@ -387,6 +426,39 @@ def unfrozen_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.unfrozen(user_events(spark, sf_dir, "event_type"), kind == "click", kind == "view").select("user_id", "event_id")
 
 
+#: Steps of a user: some events go home, some go back, the others open one of a few keys.
+STEP = "CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'home' WHEN event_type = 'error' THEN 'back' ELSE event_type || event_id % 4 END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {STEP} AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+t AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS current, []::VARCHAR[] AS trail FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT t.user_id, e.n, e.event_id, CASE e.key WHEN 'home' THEN NULL WHEN 'back' THEN coalesce(t.trail[-1], t.current) ELSE e.key END,
+    CASE WHEN e.key = 'home' THEN [] WHEN e.key = 'back' THEN t.trail[:len(t.trail) - 1] WHEN t.current IS NULL OR e.key = t.current THEN t.trail ELSE list_append(t.trail, t.current) END
+  FROM t JOIN e ON e.user_id IS NOT DISTINCT FROM t.user_id AND e.n = t.n + 1)
+SELECT user_id, event_id, current, len(trail)::INTEGER AS depth, trail[-1] AS previous FROM t WHERE n > 0""")
+def back_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.back_stack(user_events(spark, sf_dir, STEP.replace("event_type || event_id % 4", "concat(event_type, event_id % 4)")))
+
+
+#: How long the run for a request takes: none for some, up to two days for others.
+TOOK = "CAST(event_id % 7 AS BIGINT) * 28800000000"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, {TOOK} AS took, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+t AS (SELECT user_id, 0::BIGINT AS n, -1::BIGINT AS finish, NULL::BIGINT AS wait_id, 0::BIGINT AS wait_took, NULL::BIGINT AS run_id, 0::BIGINT AS run_start, NULL::BIGINT AS late_id, 0::BIGINT AS late_start, 0::BIGINT AS late_end, NULL::BIGINT AS drop_id
+  FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT user_id, n, CASE WHEN us >= done THEN us + took ELSE done END, CASE WHEN us < done THEN event_id END, took, CASE WHEN us >= done THEN event_id END, us,
+    late, finish, done, CASE WHEN us < done AND late IS NULL THEN wait_id END
+  FROM (SELECT e.*, t.finish, t.wait_id, CASE WHEN e.us >= t.finish THEN t.wait_id END AS late, CASE WHEN e.us >= t.finish AND t.wait_id IS NOT NULL THEN t.finish + t.wait_took ELSE t.finish END AS done
+    FROM t JOIN e ON e.user_id IS NOT DISTINCT FROM t.user_id AND e.n = t.n + 1))
+SELECT user_id, run_id AS event_id, 'run' AS outcome, run_start AS start_us, finish AS end_us FROM t WHERE run_id IS NOT NULL UNION ALL
+SELECT user_id, late_id, 'trailing', late_start, late_end FROM t WHERE late_id IS NOT NULL UNION ALL
+SELECT user_id, drop_id, 'dropped', NULL, NULL FROM t WHERE drop_id IS NOT NULL UNION ALL
+SELECT user_id, wait_id, 'trailing', finish, finish + wait_took FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM t) WHERE back = 1 AND wait_id IS NOT NULL""")
+def coalesced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.coalesced(user_events(spark, sf_dir, "event_type").withColumn("took_us", F.expr(TOOK)))
+
+
 @query("""SELECT c_custkey, coalesce((SELECT min(n_nationkey) FROM nation WHERE c_acctbal >= n_nationkey * 400 AND c_acctbal < n_nationkey * 400 + 600 AND c_custkey >= 10 AND c_custkey < 10 + 40 * (n_nationkey + 1)), -1)::BIGINT AS ordinal FROM customer""")
 def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fixture(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("y"))
