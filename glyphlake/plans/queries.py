@@ -16,6 +16,7 @@ from ..operators import entry as entry_ops
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
 from ..sources.files import npy_files, npy_rows, read_class_index, read_list, write_json
+from ..streaming import activity as streams
 from .fixtures import bound, dictionary, fixture, with_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,10 +405,13 @@ def user_events(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return fixture(spark, sf_dir, "events").select("user_id", F.expr(key).alias("key"), "ts", "event_id", "event_type")
 
 
+KEY = "concat(event_type, cast(cast(floor(value / 10) AS bigint) AS string))"
+
+
 @query("""WITH l AS (SELECT user_id, event_type || floor(value / 10)::BIGINT AS key, max((ts, event_id)) AS l FROM events GROUP BY ALL)
 SELECT user_id, key, l[1] AS ts, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l DESC)::INTEGER AS place FROM l) WHERE place <= 14""")
 def recent_mru(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.recent(user_events(spark, sf_dir, "concat(event_type, cast(cast(floor(value / 10) AS bigint) AS string))"))
+    return activity.recent(user_events(spark, sf_dir, KEY))
 
 
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 3600000000""")
@@ -427,7 +431,7 @@ def unfrozen_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Steps of a user: some events go home, some go back, the others open one of a few keys.
-STEP = "CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'home' WHEN event_type = 'error' THEN 'back' ELSE event_type || event_id % 4 END"
+STEP = "CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'home' WHEN event_type = 'error' THEN 'back' ELSE concat(event_type, event_id % 4) END"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {STEP} AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -437,7 +441,27 @@ t AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS
   FROM t JOIN e ON e.user_id IS NOT DISTINCT FROM t.user_id AND e.n = t.n + 1)
 SELECT user_id, event_id, current, len(trail)::INTEGER AS depth, trail[-1] AS previous FROM t WHERE n > 0""")
 def back_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.back_stack(user_events(spark, sf_dir, STEP.replace("event_type || event_id % 4", "concat(event_type, event_id % 4)")))
+    return sequences.back_stack(user_events(spark, sf_dir, STEP))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    schema = fixture(spark, sf_dir, "events").schema
+    # a pattern, as a table is one file or a folder of files, and streams take a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", F.expr(key).alias("key"), "ts", "event_id")
+
+
+@query(ORACLE_SQL["back_stack"])
+def back_steps_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_once(streams.back_steps_stream(events_stream(spark, sf_dir, STEP)), shared_folder(spark)).drop("batch")
+
+
+@query("""WITH l AS (SELECT user_id, event_type || floor(value / 10)::BIGINT AS key, max((ts, event_id)) AS l FROM events GROUP BY ALL)
+SELECT user_id, string_agg(key, '|' ORDER BY l DESC) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l DESC) AS place FROM l) WHERE place <= 14 GROUP BY user_id""")
+def recent_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = streams.recent_stream(events_stream(spark, sf_dir, KEY))
+    # of the batches in which a user's keys changed the last one counts
+    states = streams.run_once(stream, shared_folder(spark), "update").groupBy("user_id").agg(F.max_by("keys", "batch").alias("keys"))
+    return states.select("user_id", joined("keys").alias("keys"))
 
 
 #: How long the run for a request takes: none for some, up to two days for others.

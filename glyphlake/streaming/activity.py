@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 RECENT = 14
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def timed(events: DataFrame, late: str) -> DataFrame:
@@ -31,42 +32,119 @@ def counts_stream(events: DataFrame, window: str = "1 hour", late: str = "1 hour
     return by.select(F.col("w.start").alias("start"), "key", "n")
 
 
-def recent_stream(events: DataFrame, n: int = RECENT) -> DataFrame:
-    """(user_id, keys): each user's n latest keys, the latest first, whenever they change; the state holds n keys."""
+class Recent(StatefulProcessor):
+    """The n latest keys of a user: map state from key to its latest time and event."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getMapState("latest", "key string", "us bigint, event_id bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = {k[0]: tuple(v) for k, v in self.latest.iterator()}
+        kept = dict(known)
+        for r in rows:
+            if r["key"] is not None and r["us"] is not None:
+                kept[r["key"]] = max(kept.get(r["key"], (r["us"], r["event_id"] or 0)), (r["us"], r["event_id"] or 0))
+                if len(kept) > 4 * self.n:
+                    kept = dict(self._first(kept))
+        first = self._first(kept)
+        kept = dict(first)
+        for k in known.keys() - kept.keys():
+            self.latest.removeKey((k,))
+        for k, v in kept.items():
+            if known.get(k) != v:
+                self.latest.updateValue((k,), v)
+        yield Row(user_id=key[0], keys=[k for k, _ in first])
+
+    def _first(self, kept: dict) -> list[tuple]:
+        return sorted(sorted(kept.items()), key=lambda x: x[1], reverse=True)[: self.n]
+
+    def close(self) -> None:
+        pass
+
+
+class BackStack(StatefulProcessor):
+    """A user's stack as map state from a running number to a key: a step reads or writes one key of it, however deep it is.
+
+    each: a row after each event; else one for each batch, with the whole trail.
+    """
+
+    def __init__(self, home: str, back: str, depth: int | None, each: bool) -> None:
+        self.home, self.back, self.depth, self.each = home, back, depth, each
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "current string, bottom bigint, top bigint")
+        self.trail = handle.getMapState("trail", "number bigint", "key string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        current, bottom, top = self.place.get() if self.place.exists() else (None, 0, 0)
+        at = lambda n: self.trail.getValue((n,))[0]
+        late = lambda r: (r["us"] is None, r["us"] or 0, r["event_id"] is None, r["event_id"] or 0)
+        for r in sorted((r for r in rows if r["key"] is not None), key=late):
+            if r["key"] == self.home:
+                if top > bottom:
+                    self.trail.clear()
+                current, bottom, top = None, 0, 0
+            elif r["key"] == self.back:
+                if top > bottom:
+                    current = at(top)
+                    self.trail.removeKey((top,))
+                    top -= 1
+            elif r["key"] != current:
+                if current is not None:
+                    top += 1
+                    self.trail.updateValue((top,), (current,))
+                    if self.depth is not None and top - bottom > self.depth:
+                        bottom += 1
+                        self.trail.removeKey((bottom,))
+                current = r["key"]
+            if self.each:
+                yield Row(user_id=key[0], event_id=r["event_id"], current=current, depth=top - bottom, previous=at(top) if top > bottom else None)
+        self.place.update((current, bottom, top))
+        if not self.each:
+            yield Row(user_id=key[0], current=current, trail=[at(n) for n in range(bottom + 1, top + 1)])
+
+    def close(self) -> None:
+        pass
+
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for batch in batches:
-            for k, t in batch.groupby("key")["us"].max().items():
-                latest[k] = max(latest.get(k, t), t)
-            latest = dict(sorted(latest.items(), key=lambda x: (-x[1], x[0]))[:n])
-        state.update((list(latest), list(latest.values())))
-        yield pd.DataFrame({"user_id": [key[0]], "keys": [list(latest)]})
+def _slim(events: DataFrame) -> DataFrame:
+    """What the processors read. Their state needs the RocksDB store, which keeps it outside the heap."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.select("user_id", "event_id", F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def recent_stream(events: DataFrame, n: int = RECENT) -> DataFrame:
+    """(user_id, keys): each user's n latest keys, the latest first, as each batch leaves them; later rows replace earlier ones.
 
-    slim = events.where(F.col("key").isNotNull()).select("user_id", F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return slim.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, keys array<string>", "keys array<string>, times array<bigint>", "update", GroupStateTimeout.NoTimeout)
+    Events without key or ts don't count. The state holds n keys of a user, and only those that change are written.
+    """
+    return _slim(events).groupBy("user_id").transformWithState(Recent(n), "user_id bigint, keys array<string>", "Update", "None")
 
 
 def back_stack_stream(events: DataFrame, home: str = "home", back: str = "back", depth: int | None = None) -> DataFrame:
     """(user_id, current, trail): where each user is and the way back. Opening another key pushes the current one, back
-    pops, home empties. The whole trail is kept, unless depth cuts it to its last keys. Events of one user in one batch are applied in the order of (ts, event_id)."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, trail = state.get if state.exists else (None, [])
-        trail = list(trail)
-        for k in pd.concat(batches).sort_values(["us", "event_id"])["key"]:
-            if k == home:
-                current, trail = None, []
-            elif k == back:
-                current = trail.pop() if trail else current
-            elif k != current:
-                if current is not None:
-                    trail.append(current)
-                if depth is not None:
-                    del trail[: max(len(trail) - depth, 0)]
-                current = k
-        state.update((current, trail))
-        yield pd.DataFrame({"user_id": [key[0]], "current": [current], "trail": [trail]})
-
-    slim = events.where(F.col("key").isNotNull()).select("user_id", "event_id", F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return slim.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, current string, trail array<string>", "current string, trail array<string>", "update", GroupStateTimeout.NoTimeout)
+    pops, home empties. The whole trail is kept, unless depth cuts it to its last keys. Events of one user in one batch are
+    applied in the order of (ts, event_id); those of a later batch come after them."""
+    return _slim(events).groupBy("user_id").transformWithState(BackStack(home, back, depth, False), "user_id bigint, current string, trail array<string>", "Update", "None")
+
+
+def back_steps_stream(events: DataFrame, home: str = "home", back: str = "back") -> DataFrame:
+    """(user_id, event_id, current, depth, previous) after each event with a key, as operators.sequences.back_stack gives them."""
+    return _slim(events).groupBy("user_id").transformWithState(BackStack(home, back, None, True), "user_id bigint, event_id bigint, current string, depth int, previous string", "Append", "None")
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream has now, run to its end below a folder that all share, and read back with the batch it came in."""
+    path = f"{folder}/out"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        # a batch that is run again after a failure replaces what it had written
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return stream.sparkSession.read.schema(written).parquet(path)

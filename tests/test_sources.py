@@ -6,6 +6,7 @@ import pytest
 from glyphlake.operators import browse
 from glyphlake.schemas import TABLES
 from glyphlake.sources import files, images
+from glyphlake.operators import activity, sequences
 from glyphlake.streaming import activity as streams
 
 from .conftest import DATA
@@ -84,3 +85,21 @@ def test_windows(spark, tmp_path, events):
     settled = run(streams.settled_stream(events, "1 hour"), "append", tmp_path, "settled")
     counts = run(streams.counts_stream(events), "append", tmp_path, "counts")
     assert 0 < len(settled) <= 1000 and 0 < sum(r["n"] for r in counts) <= 1000
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """One file a batch, in order of time: what the batch operators give over all files."""
+    rows = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("user_id", "concat(event_type, event_id % 3) AS key", "ts", "event_id")
+    for since, day in (("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2025-01-01")):
+        rows.where(f"ts >= '{since}' AND ts < '{day}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "days"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "days"))
+    steps = streams.run_once(streams.back_steps_stream(stream, "signup0", "error1"), f"file://{tmp_path}/steps")
+    assert steps.select("batch").distinct().count() == 3
+    want = sequences.back_stack(rows, "signup0", "error1")
+    assert sorted(map(tuple, steps.drop("batch").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    states = streams.run_once(streams.recent_stream(stream, 4), f"file://{tmp_path}/recent", "update")
+    last = {r["user_id"]: r["keys"] for r in sorted(states.collect(), key=lambda r: r["batch"])}
+    want = {}
+    for r in activity.recent(rows, 4).orderBy("user_id", "place").collect():
+        want.setdefault(r["user_id"], []).append(r["key"])
+    assert last == want
