@@ -72,9 +72,21 @@ def variant_categories(variants: Column, categories: tuple[str, ...] = ("variant
 
 def ids_links(ids: Column, components: Column) -> Column:
     """The characters of a description in order, as struct(char, codepoint, link): a link is one of components."""
-    named = F.transform(characters(ids), lambda c: F.struct(c.alias("char"), format_codepoint(F.ascii(c)).alias("codepoint")))
-    linked = lambda x: F.coalesce(F.array_contains(components, x["codepoint"]), F.lit(False))
-    return F.transform(named, lambda x: F.struct(x["char"].alias("char"), x["codepoint"].alias("codepoint"), linked(x).alias("link")))
+    known = F.transform(components, codepoint_char)  # a few characters, made once, instead of a name for each one compared
+    linked = lambda c: F.coalesce(F.array_contains(known, c), F.lit(False))
+    return F.transform(characters(ids), lambda c: F.struct(c.alias("char"), format_codepoint(F.ascii(c)).alias("codepoint"), linked(c).alias("link")))
+
+
+def linked_characters(ids: Column, components: Column) -> Column:
+    """struct(links, n_plain): the characters of a description that ids_links marks, in order, and how many it doesn't.
+
+    No component is ASCII, so that is counted and passed over as a whole; nothing is named.
+    """
+    known = F.coalesce(F.transform(components, codepoint_char), F.array().cast("array<string>"))
+    marked = F.filter(characters(F.regexp_replace(ids, r"[\x00-\x7F]+", "")), lambda c: F.array_contains(known, c))
+    links = F.when(F.size(known) > 0, marked).otherwise(F.array().cast("array<string>"))
+    plain = F.length(F.coalesce(ids, F.lit("")))
+    return F.get(F.transform(F.array(links), lambda x: F.struct(x.alias("links"), (plain - F.size(x)).cast("bigint").alias("n_plain"))), 0)
 
 
 def families(family: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Works for any number of families at once: members are exploded, joined with the edges by source, and joined
 once more by (family, target). The first of equal pairs is chosen by an aggregation, which combines before
-the shuffle.
+the shuffle. Members of a family that store the same list share one graph; only the last join gives it to each.
 """
 
 from __future__ import annotations
@@ -13,13 +13,27 @@ from pyspark.sql import functions as F
 from ..functions.codepoints import codepoint_char
 
 
-def family_members(keys: DataFrame, family: DataFrame) -> DataFrame:
-    """(codepoint, pos, member) of keys (codepoint): the family stored, repeated members once; alone without one."""
-    lists = family.groupBy("codepoint").agg(F.min("family_members_json").alias("members"))
+def family_lists(keys: DataFrame, family: DataFrame) -> DataFrame:
+    """(codepoint, list, members) of keys (codepoint): the family stored, repeated members once; alone without one.
+
+    Keys with equal members have the same list, so what is made for a list is made once for all of them.
+    """
+    stored = family.groupBy("codepoint").agg(F.min("family_members_json").alias("members"))
+    joined = keys.select("codepoint").distinct().join(stored, "codepoint", "left")
     members = F.array_distinct(F.from_json("members", "array<string>"))
-    joined = keys.select("codepoint").distinct().join(lists, "codepoint", "left")
     members = F.filter(F.coalesce(members, F.array("codepoint")), lambda c: c.isNotNull())
-    return joined.select("codepoint", F.posexplode(members).alias("pos", "member"))
+    return joined.select("codepoint", members.alias("members")).select("codepoint", F.md5(F.to_json("members")).alias("list"), "members")
+
+
+def once(lists: DataFrame) -> DataFrame:
+    """(codepoint, pos, member) of each different list, under the name of the list."""
+    kept = lists.groupBy(F.col("list").alias("codepoint")).agg(F.first("members").alias("members"))
+    return kept.select("codepoint", F.posexplode("members").alias("pos", "member"))
+
+
+def family_members(keys: DataFrame, family: DataFrame) -> DataFrame:
+    """(codepoint, pos, member) of keys (codepoint)."""
+    return family_lists(keys, family).select("codepoint", F.posexplode("members").alias("pos", "member"))
 
 
 def graph_nodes(members: DataFrame) -> DataFrame:
@@ -39,13 +53,19 @@ def graph_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return inside.groupBy(*pair).agg(first.alias("e")).select("codepoint", "e.source", "e.target", "relation", "e.category")
 
 
+def edges_of(keys: DataFrame, family: DataFrame, edges: DataFrame) -> DataFrame:
+    """(codepoint, source, target, relation, category) of keys: found once for each different family, then given to its keys."""
+    lists = family_lists(keys, family)
+    found = graph_edges(once(lists), edges).withColumnRenamed("codepoint", "list")
+    return lists.select("codepoint", "list").join(found, "list").drop("list")
+
+
 def variant_graph(keys: DataFrame, family: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per key: codepoint, nodes in the family's order, edges sorted."""
-    members = family_members(keys, family)
-    node = F.struct("pos", F.col("member").alias("codepoint"), "character", "focus")
-    nodes = graph_nodes(members).groupBy("codepoint").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    nodes = nodes.select("codepoint", F.transform("nodes", lambda n: n.dropFields("pos")).alias("nodes"))
+    """One row per key: codepoint, nodes in the family's order, edges sorted. Edges are found once for each different family."""
+    lists = family_lists(keys, family)
     edge = F.struct("source", "target", "relation", "category")
-    found = graph_edges(members, edges).groupBy("codepoint").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    found = graph_edges(once(lists), edges).groupBy(F.col("codepoint").alias("list")).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    node = lambda m: F.struct(m.alias("codepoint"), codepoint_char(m).alias("character"), (m == F.col("codepoint")).alias("focus"))
     kind = "array<struct<source:string,target:string,relation:string,category:string>>"
-    return nodes.join(found, "codepoint", "left").select("codepoint", "nodes", F.coalesce("edges", F.array().cast(kind)).alias("edges"))
+    nodes = F.transform("members", node).alias("nodes")
+    return lists.join(found, "list", "left").select("codepoint", nodes, F.coalesce("edges", F.array().cast(kind)).alias("edges"))

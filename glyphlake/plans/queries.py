@@ -172,7 +172,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY codepoint, least(source, target)
 @query(GRAPH + "SELECT codepoint, source, target, relation, category FROM f WHERE n = 1")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = bound(spark, sf_dir, "variant_family")
-    return graph.graph_edges(graph.family_members(families, families), bound(spark, sf_dir, "variant_edges"))
+    return graph.edges_of(families, families, bound(spark, sf_dir, "variant_edges"))
 
 
 @query(GRAPH + f"SELECT codepoint, pos - 1 AS pos, member, {char_sql('member')} AS character, member = codepoint AS focus FROM p".replace("pos - 1", "(pos - 1)::INTEGER"))
@@ -306,9 +306,8 @@ def ids_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = docs.select(F.col("doc_id").cast("string").alias("codepoint"), F.col("text").alias("primary_ids"), "lang")
     universe = described.where("lang = 'fr'").select(F.explode(cp.component_names(F.col("primary_ids"))).alias("codepoint")).distinct()
     parts = entry_ops.components(described, universe)
-    shown = described.join(parts, "codepoint", "left").select("codepoint", entry_ops.ids_links(F.col("primary_ids"), F.col("components")).alias("c"))
-    links = F.array_join(F.transform(F.filter("c", lambda c: c["link"]), lambda c: c["char"]), "")
-    return shown.select(F.col("codepoint").cast("bigint").alias("doc_id"), F.size(F.filter("c", lambda c: ~c["link"])).cast("bigint").alias("n_plain"), links.alias("links"))
+    shown = described.join(parts, "codepoint", "left").select("codepoint", entry_ops.linked_characters(F.col("primary_ids"), F.col("components")).alias("c"))
+    return shown.select(F.col("codepoint").cast("bigint").alias("doc_id"), "c.n_plain", F.array_join("c.links", "").alias("links"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS name FROM nation")
@@ -380,6 +379,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = anchors(spark, sf_dir)
     vector = rows.where("idx = 7").first()
+    if vector is None or vector["embedding"] is None:
+        return rows.sparkSession.createDataFrame([], "idx bigint, score double")
     return neighbours.nearest(rows, list(vector["embedding"]), 6)
 
 

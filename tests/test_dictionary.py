@@ -158,3 +158,25 @@ def test_activity_with_nulls(spark, same, tmp_path, name):
 def test_activity_on_nothing(spark):
     none = spark.createDataFrame([], "user_id long, key string, ts timestamp, event_id long")
     assert not activity.recent(none).collect() and not activity.settled(none, 60).collect() and not activity.changes(none).collect()
+
+
+def test_linked_characters_are_those_that_are_marked(spark):
+    rows = [("⿰金監a金b", ["U+91D1"]), ("plain", ["U+91D1"]), (None, ["U+91D1"]), ("金監", None), ("金監", []), ("𠀀x𠀀監", ["U+20000", "U+76E3"]), ("", None)]
+    df = spark.createDataFrame(rows, "ids string, components array<string>")
+    both = df.select(entry.ids_links(F.col("ids"), F.col("components")).alias("a"), entry.linked_characters(F.col("ids"), F.col("components")).alias("b"))
+    for r in both.collect():
+        assert r["b"]["links"] == [x["char"] for x in r["a"] if x["link"]]
+        assert r["b"]["n_plain"] == sum(not x["link"] for x in r["a"])
+
+
+def test_a_graph_is_made_once_for_members_that_share_it(spark, d):
+    keys = spark.createDataFrame([("U+9451",), ("U+9452",), ("U+91D1",), ("U+76E3",), ("U+0",), ("U+9451",)], "codepoint string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(graph.graph_edges(graph.family_members(keys, d.variant_family), d.variant_edges))
+    assert rows(graph.edges_of(keys, d.variant_family, d.variant_edges).select("codepoint", "source", "target", "relation", "category")) == want != []
+    assert graph.once(graph.family_lists(keys, d.variant_family)).select("codepoint").distinct().count() == 4
+
+
+def test_nearest_without_the_vector_asked(spark, tmp_path):
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["knn_topk"](spark, str(tmp_path)).collect() == []
