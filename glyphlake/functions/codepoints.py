@@ -80,5 +80,5 @@ def characters(s: Column) -> Column:
 def component_names(ids: Column) -> Column:
     """Code points of the components in an ideographic description, first occurrences in order."""
     # ASCII is no component; one expression takes it out before the characters are looked at one by one
-    parts = F.filter(characters(F.regexp_replace(ids, r"[\x00-\x7F]+", "")), lambda c: ~is_idc(c))
-    return F.array_distinct(F.transform(parts, lambda c: format_codepoint(F.ascii(c))))
+    parts = F.array_distinct(characters(F.regexp_replace(ids, r"[\x00-\x7F]+", "")))
+    return F.transform(F.filter(parts, lambda c: ~is_idc(c)), lambda c: format_codepoint(F.ascii(c)))

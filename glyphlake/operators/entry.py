@@ -7,6 +7,7 @@ each table first, which makes a look-up of few characters read few rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -70,11 +71,16 @@ def variant_categories(variants: Column, categories: tuple[str, ...] = ("variant
     return F.struct(*[own(k).alias(k) for k in categories])
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once for a row and not for each item that a lambda in body looks at."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ids_links(ids: Column, components: Column) -> Column:
     """The characters of a description in order, as struct(char, codepoint, link): a link is one of components."""
-    known = F.transform(components, codepoint_char)  # a few characters, made once, instead of a name for each one compared
-    linked = lambda c: F.coalesce(F.array_contains(known, c), F.lit(False))
-    return F.transform(characters(ids), lambda c: F.struct(c.alias("char"), format_codepoint(F.ascii(c)).alias("codepoint"), linked(c).alias("link")))
+    linked = lambda c, known: F.coalesce(F.array_contains(known, c), F.lit(False))
+    item = lambda c, known: F.struct(c.alias("char"), format_codepoint(F.ascii(c)).alias("codepoint"), linked(c, known).alias("link"))
+    return _bound(F.transform(components, codepoint_char), lambda known: F.transform(characters(ids), lambda c: item(c, known)))
 
 
 def linked_characters(ids: Column, components: Column) -> Column:
@@ -82,11 +88,10 @@ def linked_characters(ids: Column, components: Column) -> Column:
 
     No component is ASCII, so that is counted and passed over as a whole; nothing is named.
     """
-    known = F.coalesce(F.transform(components, codepoint_char), F.array().cast("array<string>"))
-    marked = F.filter(characters(F.regexp_replace(ids, r"[\x00-\x7F]+", "")), lambda c: F.array_contains(known, c))
-    links = F.when(F.size(known) > 0, marked).otherwise(F.array().cast("array<string>"))
-    plain = F.length(F.coalesce(ids, F.lit("")))
-    return F.get(F.transform(F.array(links), lambda x: F.struct(x.alias("links"), (plain - F.size(x)).cast("bigint").alias("n_plain"))), 0)
+    none, plain = F.array().cast("array<string>"), F.length(F.coalesce(ids, F.lit("")))
+    among = lambda known: F.filter(characters(F.regexp_replace(ids, r"[\x00-\x7F]+", "")), lambda c: F.array_contains(known, c))
+    links = F.when(F.size(F.coalesce(components, none)) > 0, _bound(F.transform(components, codepoint_char), among)).otherwise(none)
+    return _bound(links, lambda x: F.struct(x.alias("links"), (plain - F.size(x)).cast("bigint").alias("n_plain")))
 
 
 def families(family: DataFrame) -> DataFrame:
