@@ -96,3 +96,25 @@ def edge_id(*parts: Column) -> Column:
 
 def last_items(items: Column, n: int = 8) -> Column:
     return F.slice(items, F.greatest(F.lit(1), F.size(items) - n + 1), F.lit(n))
+
+
+#: What stands between the values of a line, and the wording of stroke counts.
+VALUES, GLOSSES, PAIRS = " / ", "; ", " · "
+TOTAL, RESIDUAL, STROKES = "총 ", "잔여 ", "획"
+
+
+def listed(items: Column, between: str = VALUES) -> Column:
+    """A line of the values of a list; null where there are none."""
+    return shown(F.array_join(items, between))
+
+
+def strokes_line(total: Column, residual: Column) -> Column:
+    """The stroke counts that are known, as one line; null if none is."""
+    counted = lambda name, n: F.concat(F.lit(name), n.cast("string"), F.lit(STROKES))
+    return shown(F.concat_ws(PAIRS, counted(TOTAL, total), counted(RESIDUAL, residual)))
+
+
+def hunum_line(pairs: Column) -> Column:
+    """Pairs of meaning and sound as one line, the sound alone where there is no meaning; null without pairs."""
+    pair = lambda h: F.concat_ws(" ", shown(h["jahun"]), h["dokeum"])
+    return listed(F.transform(pairs, pair), PAIRS)

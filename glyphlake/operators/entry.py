@@ -13,6 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions.codepoints import characters, codepoint_char, component_names, format_codepoint
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 
@@ -145,6 +146,18 @@ def entries(d: Dictionary, keys: DataFrame | None = None) -> DataFrame:
     )
 
 
+def panels(found: DataFrame) -> DataFrame:
+    """The lines that an entry's page shows, one row per entry: strokes, readings, pairs and meanings; null for a line without values."""
+    return found.select(
+        "codepoint", "character",
+        display.strokes_line(F.col("structure.total_strokes"), F.col("structure.residual_strokes")).alias("strokes"),
+        *[display.listed(F.col(f"readings.{k}")).alias(k) for k in READING_TYPES],
+        display.hunum_line(F.col("hunum")).alias("hunum"),
+        display.listed(F.col("meanings.ko")).alias("ko"),
+        display.listed(F.col("meanings.en"), display.GLOSSES).alias("en"),
+    )
+
+
 def shown_character() -> Column:
     """character, or where that is empty the character that codepoint names."""
     return F.coalesce(F.nullif(F.col("character"), F.lit("")), codepoint_char(F.col("codepoint")))

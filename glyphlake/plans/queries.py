@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import functools
 from collections.abc import Callable
@@ -13,6 +14,7 @@ from ..functions import codepoints as cp
 from ..functions import display
 from ..operators import activity, browse, graph, neighbours, phrase_index, ranges, search, sequences
 from ..operators import entry as entry_ops
+from ..operators.home_counts import HomeCounts
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
 from ..sources.files import npy_files, npy_rows, read_class_index, read_list, write_json
@@ -112,6 +114,26 @@ def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.db_stats(dictionary(spark, sf_dir))
 
 
+SLICE = "('0x' || substr(codepoint, 3))::INTEGER % 3 < k"
+
+
+@query(f"""SELECT k::INTEGER AS step, (SELECT count(*) FROM characters_ids WHERE {SLICE}) AS characters, (SELECT count(DISTINCT codepoint) FROM character_readings WHERE {SLICE}) AS with_reading,
+  (SELECT count(DISTINCT codepoint) FROM character_meanings WHERE {SLICE}) AS with_meaning, (SELECT count(*) FROM variant_family WHERE component_size > 1 AND {SLICE}) AS family_rows,
+  (SELECT count(DISTINCT representative) FROM variant_family WHERE component_size > 1 AND {SLICE}) AS families,
+  (SELECT count(*) FROM characters_structure WHERE radical_idx IN (SELECT radical_idx FROM radicals) AND {SLICE}) AS in_radicals FROM (VALUES (1), (2), (3)) s(k)""")
+def home_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts after each of three additions that together are the dictionary."""
+    d, kept, steps = dictionary(spark, sf_dir), HomeCounts(spark), []
+    number = F.conv(F.substring("codepoint", 3, 8), 16, 10).cast("bigint")
+    for k in range(3):
+        tables = {t.name: getattr(d, t.name) for t in dataclasses.fields(d)}
+        kept.add(dataclasses.replace(d, **{t: df.where(number % 3 == k) for t, df in tables.items() if "codepoint" in df.columns}))
+        kept = kept.compact()  # a folder of its own for each step, so that all can be looked at
+        in_radicals = kept.radical_index(d.radicals).agg(F.sum("char_count").alias("in_radicals"))
+        steps.append(kept.stats().select(F.lit(k + 1).alias("step"), "*").join(in_radicals))  # one row each
+    return functools.reduce(DataFrame.unionByName, steps)
+
+
 POOL = f"""SELECT DISTINCT c.codepoint FROM characters_core c JOIN character_meanings m ON c.codepoint = m.codepoint WHERE block = '{BLOCK}' AND language = 'ko'"""
 
 
@@ -550,3 +572,13 @@ def entry_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.range(1).select(cp.normalize_query(F.lit("u+4e07")).alias("codepoint"))
     return flat_entries(entry_ops.entries(dictionary(spark, sf_dir), key))
+
+
+@query(f"""WITH r AS (SELECT codepoint, {", ".join(f"string_agg(value, ' / ' ORDER BY value) FILTER (reading_type = '{k}') AS {k}" for k in READING_TYPES)} FROM character_readings GROUP BY codepoint),
+m AS (SELECT codepoint, string_agg(value, ' / ' ORDER BY value) FILTER (language = 'ko') AS ko, string_agg(value, '; ' ORDER BY value) FILTER (language = 'en') AS en FROM character_meanings GROUP BY codepoint),
+h AS (SELECT codepoint, string_agg(CASE WHEN jahun <> '' THEN jahun || ' ' ELSE '' END || dokeum, ' · ' ORDER BY seq) AS hunum FROM character_hunum GROUP BY codepoint)
+SELECT s.codepoint, coalesce(nullif(s.character, ''), {char_sql("s.codepoint")}) AS character, nullif(concat_ws(' · ', '총 ' || total_strokes || '획', '잔여 ' || residual_strokes || '획'), '') AS strokes,
+  {", ".join(f"r.{k}" for k in READING_TYPES)}, h.hunum, m.ko, m.en
+FROM character_summary s LEFT JOIN r ON r.codepoint = s.codepoint LEFT JOIN m ON m.codepoint = s.codepoint LEFT JOIN h ON h.codepoint = s.codepoint""")
+def entry_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry_ops.panels(entry_ops.entries(dictionary(spark, sf_dir)))

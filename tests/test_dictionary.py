@@ -1,5 +1,6 @@
 """A small dictionary in the tables' own schemas, with the rows that are easy to get wrong."""
 
+import dataclasses
 import datetime
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from glyphlake import api
 from glyphlake.operators import activity, browse, entry, graph, neighbours, ranges, search
+from glyphlake.functions import display
 from glyphlake.operators.entry import Dictionary, entries
+from glyphlake.operators.home_counts import HomeCounts
 from glyphlake.plans.queries import ORACLE_SQL, QUERIES
 from glyphlake.schemas import TABLES
 
@@ -180,3 +183,34 @@ def test_a_graph_is_made_once_for_members_that_share_it(spark, d):
 def test_nearest_without_the_vector_asked(spark, tmp_path):
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["knn_topk"](spark, str(tmp_path)).collect() == []
+
+
+def test_panels(spark, d):
+    lines = {r["codepoint"]: r for r in entry.panels(entries(d)).collect()}
+    own = lines["U+9451"]
+    assert (own["strokes"], own["mandarin"], own["onyomi"], own["hunum"], own["ko"], own["en"]) == ("총 22획 · 잔여 14획", "jiàn", "カン / ガン", "거울 감 · 감", "거울", "mirror")
+    none = lines["U+20000"]
+    assert none["character"] == "𠀀" and all(none[c] is None for c in none.asDict() if c not in ("codepoint", "character"))
+
+
+def test_home_counts_add_up(spark, d, tmp_path):
+    kept = HomeCounts(spark, f"file://{tmp_path}/counts")
+    kept.add(d)
+    assert kept.stats().collect() == browse.db_stats(d).collect()
+    kept.add(d)  # rows count twice, different code points once
+    once, twice = browse.db_stats(d).first(), kept.stats().first()
+    for c in once.asDict():
+        assert twice[c] == once[c] * (2 if c in ("characters", "family_rows") else 1)
+    assert kept.compact().stats().collect() == [twice]
+    assert kept.radical_index(d.radicals).agg(F.sum("char_count")).first()[0] == 2 * d.characters_structure.join(d.radicals, "radical_idx").count()
+    plan = kept.stats()._jdf.queryExecution().toString()
+    assert "codepoint" not in plan and "bitmap_or_agg" in plan  # no row of the dictionary is read
+    odd = spark.createDataFrame([("U+4E00", "a"), ("u+4e00", "b"), (None, "c"), ("x", "d"), ("U+4E00", "e")], "codepoint string, value string").withColumn("language", F.lit("ko"))
+    empty = HomeCounts(spark, f"file://{tmp_path}/odd")
+    empty.add(dataclasses.replace(Dictionary(**{k: spark.createDataFrame([], TABLES[k]) for k in ROWS}), character_meanings=odd))
+    assert empty.stats().first().asDict() == {"characters": 0, "with_reading": 0, "with_meaning": 1, "family_rows": 0, "families": 0}
+
+
+def test_clamped(spark):
+    values = spark.createDataFrame([(x,) for x in (-3.0, 0.5, 2.0, 9.0)] + [(None,)], "x double")
+    assert [r[0] for r in values.select(display.clamped(F.col("x"), 0.25, 4.0)).collect()] == [0.25, 0.5, 2.0, 4.0, 0.25]
