@@ -31,6 +31,27 @@ def recent(events: DataFrame, n: int = RECENT) -> DataFrame:
     return last.withColumn("place", place).where(F.col("place") <= n).select("user_id", "key", "ts", "place")
 
 
+def put_recent(stored: DataFrame, events: DataFrame, n: int = RECENT) -> DataFrame:
+    """(user_id, items): the stored lists, JSON texts with the latest key first, after what users opened since.
+
+    A key opened moves to the front, the others keep their order, and a list is cut to n. A missing or malformed list is
+    empty, users without events keep theirs, and of a user's several lists the longest, then the largest text, counts. Events
+    must be later than those that the lists hold; events without a key or a time are left out.
+    """
+    timed = events.where(F.col("key").isNotNull() & F.col("ts").isNotNull())
+    fronts = recent(timed.withColumn("key", F.col("key").cast("string")), n)
+    fronts = fronts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("front"))  # n at most
+    fronts = fronts.select(F.col("user_id").alias("_user"), F.transform("front", lambda x: x["key"]).alias("front"))
+    none = F.array().cast("array<string>")
+    kept = stored.groupBy("user_id").agg(F.max_by("items", F.struct(F.length("items"), "items")).alias("items"))
+    kept = kept.select("user_id", F.coalesce(F.from_json("items", "array<string>"), none).alias("old"))
+    both = kept.join(fronts, F.col("user_id").eqNullSafe(F.col("_user")), "full")
+    front, old = F.coalesce("front", none), F.coalesce("old", none)
+    items = F.slice(F.array_distinct(F.concat(front, old)), 1, n)
+    user = F.when(F.col("front").isNotNull(), F.col("_user")).otherwise(F.col("user_id"))
+    return both.select(user.alias("user_id"), F.to_json(items).alias("items"))
+
+
 def settled(events: DataFrame, gap_seconds: int) -> DataFrame:
     """The events after which a user did nothing for longer than a gap.
 

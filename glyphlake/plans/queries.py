@@ -437,6 +437,21 @@ def recent_mru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.recent(user_events(spark, sf_dir, KEY))
 
 
+RECENT_LISTS = """WITH l AS (SELECT user_id, event_type || floor(value / 10)::BIGINT AS key, max((ts, event_id)) AS l FROM events GROUP BY ALL)
+SELECT user_id, string_agg(key, '|' ORDER BY l DESC) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l DESC) AS place FROM l) WHERE place <= 14 GROUP BY user_id"""
+
+
+@query(RECENT_LISTS)
+def recent_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists written as JSON after the first days' events, read back, and put again with the others."""
+    events, half = user_events(spark, sf_dir, KEY), F.lit("2024-01-15").cast("timestamp_ntz")
+    none = spark.createDataFrame([], "user_id bigint, items string")
+    path = shared_folder(spark)
+    write_json(activity.put_recent(none, events.where(F.col("ts") < half)), path)
+    lists = activity.put_recent(spark.read.schema(none.schema).json(path), events.where(F.col("ts") >= half))
+    return read_list(lists, "items").select("user_id", joined("items").alias("keys"))
+
+
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 3600000000""")
 def debounce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.settled(user_events(spark, sf_dir, "event_type"), 3600).select("user_id", "event_id", "ts")
@@ -478,8 +493,7 @@ def back_steps_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_once(streams.back_steps_stream(events_stream(spark, sf_dir, STEP)), shared_folder(spark)).drop("batch")
 
 
-@query("""WITH l AS (SELECT user_id, event_type || floor(value / 10)::BIGINT AS key, max((ts, event_id)) AS l FROM events GROUP BY ALL)
-SELECT user_id, string_agg(key, '|' ORDER BY l DESC) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l DESC) AS place FROM l) WHERE place <= 14 GROUP BY user_id""")
+@query(RECENT_LISTS)
 def recent_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.recent_stream(events_stream(spark, sf_dir, KEY))
     # of the batches in which a user's keys changed the last one counts

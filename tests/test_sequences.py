@@ -106,3 +106,10 @@ def test_latest(spark):
     events = spark.createDataFrame(made(6), SCHEMA).repartition(3)
     want = {u: [(r[2], r[1]) for r in steps[-8:]] for u, steps in by_user(made(6)).items()}
     assert {r["user_id"]: [tuple(x) for x in r["items"]] for r in activity.latest(events, 8).collect()} == want
+
+
+def test_put_recent(spark):
+    stored = spark.createDataFrame([(1, '["a","b","c"]'), (2, "cut"), (3, '["x"]'), (None, '["n","a"]'), (4, None)], "user_id bigint, items string")
+    rows = [(1, 1, START, "b", 0), (1, 2, START, "d", 0), (2, 3, START, "a", 0), (None, 4, START, "a", 0), (5, 5, START, "z", 0), (5, 6, START, None, 0), (6, 7, None, "q", 0)]
+    put = activity.put_recent(stored, spark.createDataFrame(rows, SCHEMA), 3)
+    assert {r["user_id"]: r["items"] for r in put.collect()} == {1: '["d","b","a"]', 2: '["a"]', 3: '["x"]', None: '["a","n"]', 4: "[]", 5: '["z"]'}
