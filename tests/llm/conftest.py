@@ -17,7 +17,7 @@ def odd(spark, tmp_path_factory):
     """A folder whose documents have nulls in every column, empty and very long texts, copies and clashing names."""
     folder = tmp_path_factory.mktemp("odd")
     rows = [(i, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else f"s{i % 2}", None, 1, "x") for i, t in enumerate(TEXTS)]
-    rows += [(200 + i, t, "en", None, 1, 1, "x") for i, t in enumerate(MARKED)] + [(None, t, None, None, None, None, None) for t in (LINE, None, MARKED[0])]
+    rows += [(200 + i, t, "en", None, 1, 1, "x") for i, t in enumerate(MARKED)]
     rows += [(5, LINE, "en", "s1", 1, 1, "x"), (100, LINE.replace("quick", "slow"), None, "s0", 1, 1, None)]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     vectors = [(i, [float((i * j) % 7 - 3) / 4 for j in range(1, 9)], 0) for i in range(0, 120, 3)]
@@ -30,6 +30,17 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
+@pytest.fixture(scope="session")
+def nameless(spark, odd, tmp_path_factory):
+    """The odd tables, with documents without an id too."""
+    folder = tmp_path_factory.mktemp("nameless")
+    more = spark.createDataFrame([(None, t, None, None, None, None, None) for t in (LINE, None, MARKED[0], LINE)], DOCS)
+    spark.read.parquet(f"{odd}/documents.parquet").unionByName(more).write.parquet(f"{folder}/documents.parquet")
+    for name in ("benchmark", "embeddings", "conversations"):
+        spark.read.parquet(f"{odd}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")

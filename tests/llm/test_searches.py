@@ -49,8 +49,8 @@ def test_shards_hold_every_row():
         assert max(len(p) for p in parts) <= docs
 
 
-def test_small_shards_and_item_blocks_change_nothing(spark, odd):
-    for folder in (DATA, odd):
+def test_small_shards_and_item_blocks_change_nothing(spark, nameless):
+    for folder in (DATA, nameless):
         docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
         assert rows(lexical.ranked_search(docs.repartition(5), items, item_block=3, shard_docs=7)) == rows(QUERIES["op11_lexical_search"](spark, folder))
 
@@ -91,8 +91,8 @@ def test_checkpoints_find_every_code_point(step):
         assert index.byte_of(k) == byte and index.points_before(byte) == k
 
 
-def test_outputs_are_rebuilt_whatever_the_step(spark, odd):
-    docs = spark.read.parquet(f"{odd}/documents.parquet")
+def test_outputs_are_rebuilt_whatever_the_step(spark, nameless):
+    docs = spark.read.parquet(f"{nameless}/documents.parquet")
     texts = sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect())
     for step in (5, 4096):
         made = fill_middle.fill_in_middle(docs, step=step)
