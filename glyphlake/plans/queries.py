@@ -18,6 +18,7 @@ from ..operators.home_counts import HomeCounts
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
 from ..sources.files import npy_files, npy_rows, read_class_index, read_list, write_json
+from ..sources.npy import read_matrix, write_matrix
 from ..streaming import activity as streams
 from .fixtures import bound, dictionary, fixture, with_bindings
 
@@ -386,6 +387,15 @@ def npy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return npy_rows(matrices).select("file", "idx", F.size("embedding").alias("n"), total.alias("total"))
 
 
+@query("""SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS idx, len(embedding)::INTEGER AS n, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT))::BIGINT AS total
+FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL""")
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_matrix(fixture(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("idx"), "embedding"), path)
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x.cast("double") * 1000000).cast("bigint"))
+    return read_matrix(spark, path).select("idx", F.size("embedding").alias("n"), total.alias("total"))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
 
@@ -525,7 +535,19 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fixture(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("y"))
     k = F.col("n_nationkey").cast("bigint")
     areas = fixture(spark, sf_dir, "nation").select(k.alias("ordinal"), (k * 400).cast("double").alias("x"), F.lit(10).alias("y"), F.lit(600).alias("width"), (40 * (k + 1)).alias("height"))
-    return ranges.first_holding(points, areas, 400.0, -1).select("c_custkey", "ordinal")
+    return ranges.first_holding(points, areas, -1).select("c_custkey", "ordinal")
+
+
+#: Areas of a supplier: wide, tall, tiny and overlapping ones.
+AREA = "s_suppkey AS ordinal, s_acctbal AS x, CAST(s_suppkey AS DOUBLE) AS y, CASE s_suppkey % 4 WHEN 0 THEN 100000.0 WHEN 1 THEN 2.0 WHEN 2 THEN 0.5 ELSE 1500.0 END AS width, CASE s_suppkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 5000.0 WHEN 2 THEN 0.5 ELSE 150.0 END AS height"
+
+
+@query(f"""WITH a AS (SELECT {AREA} FROM supplier), p AS (SELECT o_orderkey, o_totalprice / 40 AS x, o_custkey / 2.0 AS y FROM orders)
+SELECT o_orderkey, coalesce(min(ordinal), -1)::BIGINT AS ordinal FROM p LEFT JOIN a ON p.x >= a.x AND p.x < a.x + width AND p.y >= a.y AND p.y < a.y + height GROUP BY o_orderkey""")
+def range_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = fixture(spark, sf_dir, "supplier").selectExpr(*AREA.split(", "))
+    points = fixture(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_totalprice / 40 AS x", "o_custkey / 2.0 AS y")
+    return ranges.first_holding(points, areas, -1).select("o_orderkey", "ordinal")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_retailprice AS x, p_size * 9.5::DOUBLE AS y, least(greatest(round(p_size * 4 * 1.5::DOUBLE), 16), 720)::DOUBLE AS side FROM part)

@@ -2,6 +2,8 @@
 
 import dataclasses
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,8 +146,29 @@ def test_recognition(spark):
 def test_ranges(spark):
     areas = spark.createDataFrame([(1, 0, 0, 100, 100), (0, 50, 0, 100, 100), (2, 5, 5, 0, 9)], "ordinal long, x int, y int, width int, height int")
     points = spark.createDataFrame([(0.0, 0.0), (99.0, 99.0), (100.0, 1.0), (150.0, 1.0), (-1.0, 5.0)], "x double, y double")
-    for cell in (7.0, 1000.0):
-        assert [r["ordinal"] for r in sorted(ranges.first_holding(points, areas, cell, -1).collect())] == [-1, 1, 0, 0, -1]
+    assert [r["ordinal"] for r in sorted(ranges.first_holding(points, areas, -1).collect())] == [-1, 1, 0, 0, -1]
+
+
+def test_ranges_of_every_size_by_brute_force(spark):
+    """Wide, tall, tiny, huge, equal, flat, infinite and null areas; points on edges, repeated, without x."""
+    inf, sizes = float("inf"), [0.25, 1.0, 3.0, 4.0, 1e-300, 1e6, 1e300, 5e-324]
+    rng = random.Random(5)
+    areas = [(n, rng.choice([-2.0, 0.0, 0.5, 3.0, 1e3]), rng.choice([-1.0, 0.0, 2.5]), rng.choice(sizes), rng.choice(sizes)) for n in range(60)]
+    areas += [(60, 0.0, 0.0, 0.0, 5.0), (61, 0.0, 0.0, inf, 5.0), (62, None, 0.0, 1.0, 1.0), (3, *areas[9][1:]), (63, 1e15, 0.0, 1e-3, 1.0), (64, 1e300, 0.0, 1e-3, 1.0), (65, float("nan"), 0.0, 1.0, 1.0)]
+    spots = [-2.0, -0.0, 0.0, 0.25, 0.5, 0.75, 1.0, 3.5, 4.0, 7.0, 999.9, 1e3, 1e6 + 3, 1e15, 1e300, float("nan"), None]
+    points = [(n, x, y) for n, (x, y) in enumerate([(x, y) for x in spots for y in spots] * 2)]
+
+    def holder(x, y):
+        fit = [n for n, ax, ay, w, h in areas if None not in (x, y, ax) and w > 0 and h > 0 and math.isfinite(ax + w) and math.isfinite(ay + h) and ax <= x < ax + w and ay <= y < ay + h]
+        return min(fit, default=None)
+
+    made = spark.createDataFrame(areas, "ordinal bigint, x double, y double, width double, height double")
+    asked = spark.createDataFrame(points, "id int, x double, y double")
+    got = {r["id"]: r["ordinal"] for r in ranges.first_holding(asked, made).collect()}
+    assert got == {n: holder(x, y) for n, x, y in points}
+    assert sum(v is not None for v in got.values()) > 100
+    assert ranges.covers(made).groupBy("ordinal", "ax", "ay", "width", "height").count().agg(F.max("count")).first()[0] <= 4
+    assert {r["ordinal"] for r in ranges.first_holding(asked, made.limit(0), -1).collect()} == {-1}
 
 
 @pytest.mark.parametrize("name", ["debounce_last", "key_changes", "unfrozen_moves"])

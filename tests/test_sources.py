@@ -5,7 +5,7 @@ import pytest
 
 from glyphlake.operators import browse
 from glyphlake.schemas import TABLES
-from glyphlake.sources import files, images
+from glyphlake.sources import files, images, npy
 from glyphlake.operators import activity, sequences
 from glyphlake.streaming import activity as streams
 
@@ -31,6 +31,43 @@ def test_dictionary_round_trip(spark, tmp_path):
     assert tuple(browse.db_stats(files.read_dictionary(spark, str(tmp_path))).first()) == (0, 0, 0, 0, 0)
 
 
+def test_a_matrix_in_many_files_and_tasks(spark, tmp_path):
+    """Written in files of a few rows by several tasks and read by ranges: each row once, in the order of idx."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(1000, 7)).astype("float32")
+    rows = spark.createDataFrame([(int(i) * 3 - 500, values[i].tolist()) for i in rng.permutation(1000)], "idx bigint, embedding array<float>")
+    npy.write_matrix(rows.repartition(3), str(tmp_path / "m"), file_bytes=28 * 90)
+    listed = json.loads((tmp_path / "m" / npy.LIST).read_text())
+    assert len(listed) > 4 and sum(f["rows"] for f in listed) == 1000
+    assert np.array_equal(np.vstack([np.load(tmp_path / "m" / f["name"]) for f in listed]), values)
+    back = npy.read_matrix(spark, str(tmp_path / "m"), task_bytes=28 * 40)
+    assert back.rdd.getNumPartitions() >= 25
+    got = sorted(back.collect())
+    assert [r["idx"] for r in got] == list(range(1000)) and np.array_equal(np.array([r["embedding"] for r in got], dtype="float32"), values)
+
+
+def test_one_file_is_a_matrix(spark, tmp_path):
+    for dtype in ("<f4", "<f8", ">f4"):
+        path = tmp_path / f"one{dtype[1:]}{ord(dtype[0])}.npy"
+        np.save(path, np.arange(60).reshape(20, 3).astype(dtype))
+        got = npy.read_matrix(spark, str(path), task_bytes=100)
+        assert got.rdd.getNumPartitions() > 1
+        assert [(r["idx"], list(r["embedding"])) for r in sorted(got.collect())] == [(i, [3.0 * i, 3.0 * i + 1, 3.0 * i + 2]) for i in range(20)]
+
+
+def test_odd_matrices(spark, tmp_path):
+    empty = spark.createDataFrame([], "idx bigint, embedding array<float>")
+    npy.write_matrix(empty, str(tmp_path / "empty"))
+    assert npy.read_matrix(spark, str(tmp_path / "empty")).count() == 0
+    for n, rows in enumerate(([(0, [1.0]), (1, [1.0, 2.0])], [(0, None)], [(0, [None])])):
+        with pytest.raises(Exception, match="one length"):
+            npy.write_matrix(spark.createDataFrame(rows, "idx bigint, embedding array<float>"), str(tmp_path / f"odd{n}"))
+        assert not (tmp_path / f"odd{n}" / npy.LIST).exists()
+    np.save(tmp_path / "column.npy", np.asfortranarray(np.ones((3, 2), "float32")))
+    with pytest.raises(Exception, match="by column: True"):
+        npy.read_matrix(spark, str(tmp_path / "column.npy")).count()
+
+
 def test_image_preparation():
     black = images.prepared(np.zeros((10, 4, 3), dtype=np.uint8))
     assert black.shape == (3, 128, 128) and black.dtype == np.float32
