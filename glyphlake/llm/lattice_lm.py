@@ -10,10 +10,11 @@ No vocabulary at hand has unigram scores (those of a BPE model are merge ranks),
 
 Scale: texts are read once and never shuffled. A task cuts its rows into chunks of about CHUNK_BYTES and writes
 each document as numbers of the chunk's distinct words, and those words, with their training counts, by the part
-of the hash space they fall in. Parts add up the counts; a part computes each lattice once and answers every
-chunk in the order asked, and a chunk's documents are summed from its answers. A frequent word costs one entry
-per chunk however often it occurs, and chunks are of rows, not of ids, so no key is hot. The driver holds one
-number per piece.
+of the hash space they fall in. Parts add up the counts, block of chunks by block; a part computes each lattice
+once and answers every chunk in the order asked, and a chunk's documents are summed from its answers. A frequent
+word costs one entry per chunk however often it occurs, and chunks are of rows, not of ids. A part with more
+than ENTRIES of them (its words are in most chunks of a very large table) is dealt in shares of the chunks, each of
+which gets the part's words. The driver holds one number per piece.
 
 Defined results: null is empty and has only the end; the rest of a text is lower-cased A-Z only; without
 training documents the base score is 0 (of one kind of token) and pieces are equally likely; repeated rows
@@ -22,6 +23,7 @@ are scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +44,10 @@ LEAST_PARTS = 64
 #: Added to each piece's count.
 SMOOTHING = 0.5
 LONGEST_VECTORISED = 64
+#: Positions of a longer word whose pieces are looked up at a time.
+POSITIONS = 65_536
+#: Entries of a part, one for each of its words in each chunk, that are answered at a time; chunks whose counts are added up at a time.
+ENTRIES, CHUNKS = 1 << 21, 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,15 +122,41 @@ class PieceLattice:
         return float(sum(self.bytes[b] for b in char.encode("utf-8", "replace")))
 
     def _one(self, text: str) -> float:
-        """The forward recursion for one word, of any length; only the last few sums are kept."""
-        alpha = [0.0]
-        for j in range(1, len(text) + 1):
-            terms = [alpha[-i] + self.log_p[text[j - i : j]] for i in range(1, min(self.longest, j) + 1) if text[j - i : j] in self.log_p]
-            if text[j - 1] not in self.log_p:
-                terms.append(alpha[-1] + self._spelt(text[j - 1]))
-            top = max(terms)
-            alpha = [*alpha[-self.longest :], top + float(np.log(sum(np.exp(t - top) for t in terms)))]
-        return alpha[-1]
+        """The forward recursion for one word, of any length: pieces are looked up for a block of positions at a time,
+        and only that block's sums are kept."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n, alpha = len(codes), [0.0]
+        for start in range(0, n, POSITIONS):
+            stop = min(n, start + POSITIONS)
+            on, h = np.arange(start, stop), np.zeros(stop - start, dtype=np.uint64)
+            begins, lengths, scores = [], [], []
+            for length in range(1, self.longest + 1):
+                inside = on + length <= n
+                on, h = on[inside], h[inside]
+                if not len(on):
+                    break
+                h = mixed(h * _P + codes[on + length - 1] + np.uint64(1))
+                place = self._find(h)
+                edge = np.where(place >= 0, self.scores[place], -np.inf)
+                if length == 1:
+                    bare = np.isneginf(edge)
+                    chars, which = np.unique(codes[on[bare]], return_inverse=True)
+                    edge[bare] = np.array([self._spelt(chr(c)) for c in chars])[which] if len(chars) else 0.0
+                hit = edge > -np.inf
+                begins.append(on[hit] - start)
+                lengths.append(np.full(int(hit.sum()), length))
+                scores.append(edge[hit])
+                on, h = on[place >= 0], h[place >= 0]
+            first = np.concatenate(begins)
+            order = np.argsort(first, kind="stable")
+            alpha += [-math.inf] * (stop - start + self.longest + 1 - len(alpha))
+            for i, j, e in zip(first[order].tolist(), (first + np.concatenate(lengths))[order].tolist(), np.concatenate(scores)[order].tolist(), strict=True):
+                one, other = alpha[i] + e, alpha[j]
+                if one < other:
+                    one, other = other, one
+                alpha[j] = one + math.log1p(math.exp(other - one))
+            alpha = alpha[stop - start :]
+        return alpha[0]
 
     def log10(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
@@ -241,16 +273,22 @@ def coded(docs: DataFrame, parts: int, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     return docs.select("doc_id", "text", "held_out").mapInArrow(cut, "chunk bigint, part bigint, words array<string>, c array<bigint>, doc_id bigint, held_out boolean, codes array<int>")
 
 
-def word_counts(asked: DataFrame) -> DataFrame:
-    """One row per part of the hash space: part, words (of all documents), c (their count in training documents)."""
+def word_counts(asked: DataFrame, blocks: int = 1) -> DataFrame:
+    """One row per part of the hash space: part, words (of all documents), c (their count in training documents), entries
+    (of the part in all chunks). With blocks of chunks, each block is added up before they meet, so that a part with words
+    that most chunks hold is in no task at once."""
 
     def merged(group: pa.Table) -> pa.Table:
         flat = pa.table({"w": pc.list_flatten(group["words"]), "c": pc.list_flatten(group["c"])})
         t = flat.group_by("w").aggregate([("c", "sum")]).combine_chunks()
         words, c, ends = t["w"].combine_chunks(), t["c_sum"].combine_chunks(), np.array([0, len(t)])
-        return pa.table({"part": group["part"][:1], "words": _lists(words.cast(pa.string()), ends), "c": _lists(c, ends)})
+        return pa.table({"part": group["part"][:1], "words": _lists(words.cast(pa.string()), ends), "c": _lists(c, ends), "entries": [pc.sum(group["entries"]).as_py()]})
 
-    return asked.select("part", "words", "c").groupBy("part").applyInArrow(merged, "part bigint, words array<string>, c array<bigint>")
+    out = "part bigint, words array<string>, c array<bigint>, entries bigint"
+    rows = asked.select("part", "words", "c", F.size("words").cast("bigint").alias("entries"), F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"))
+    if blocks > 1:
+        rows = rows.groupBy("part", "block").applyInArrow(merged, out)
+    return rows.drop("block").groupBy("part").applyInArrow(merged, out)
 
 
 def piece_counts(counts: DataFrame, ends: int, model: str) -> bytes:
@@ -281,7 +319,7 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
     parts, ends = max(LEAST_PARTS, (size[0] or 0) // (2 * chunk_bytes)), size[1]
     rows = materialize(coded(docs, parts, chunk_bytes))
     asked = rows.where("part IS NOT NULL").select("part", "chunk", "words", "c")
-    counts = materialize(word_counts(asked))
+    counts = materialize(word_counts(asked, max(1, (size[0] or 0) // (CHUNKS * chunk_bytes))))
     known = F.aggregate(F.transform("c", lambda x: (x > 0).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     used = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
     v, n = counts.agg(F.coalesce(F.sum(known), F.lit(0)), F.coalesce(F.sum(used), F.lit(0))).first()
@@ -321,7 +359,12 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
             }
         )
 
-    answers = counts.groupBy("part").cogroup(asked.select("part", "chunk", "words").groupBy("part")).applyInArrow(answer, "chunk bigint, part bigint, c array<bigint>, s array<double>")
+    # a part with words that most chunks hold is answered in several shares of its chunks
+    shares = counts.select("part", F.ceil(F.col("entries") / ENTRIES).alias("shares")).where("shares > 1")
+    share = lambda n: F.pmod(F.xxhash64("chunk"), F.coalesce(n, F.lit(1)))
+    dealt = asked.select("part", "chunk", "words").join(shares, "part", "left").withColumn("share", share(F.col("shares"))).drop("shares")
+    known_words = counts.select("part", "words", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("entries") / ENTRIES) - 1)).alias("share"))
+    answers = known_words.groupBy("part", "share").cogroup(dealt.groupBy("part", "share")).applyInArrow(answer, "chunk bigint, part bigint, c array<bigint>, s array<double>")
     documents = rows.where("part IS NULL").select("chunk", "doc_id", "held_out", "codes")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sums, out)

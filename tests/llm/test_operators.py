@@ -137,6 +137,38 @@ def test_lattice_sums_all_segmentations():
     assert lattice.log10(["中"])[0] == pytest.approx(np.log10(0.2 * 0.1 * 0.05 * 0.05))
 
 
+def test_lattice_of_long_words(monkeypatch):
+    """Words over many blocks of positions, with characters that no piece holds, by the plain recursion; a word of 1 MB in seconds."""
+    model = lattice_lm._model(lattice_lm.MODEL)
+    rng = np.random.default_rng(1)
+    lattice = lattice_lm._lattice(lattice_lm.MODEL, rng.integers(0, 1000, model.get_piece_size()).astype(float).tobytes())
+    text = "".join(rng.choice(list("abcdefghiklmnorstuABC0123+/=é中😀\u0b95"), 1500))
+    alpha = [0.0]
+    for j in range(1, len(text) + 1):
+        ends = [alpha[i] + lattice.log_p[text[i:j]] for i in range(max(0, j - lattice.longest), j) if text[i:j] in lattice.log_p]
+        ends += [] if text[j - 1] in lattice.log_p else [alpha[-1] + lattice._spelt(text[j - 1])]
+        alpha.append(np.logaddexp.reduce(ends))
+    for positions in (1, 7, 499, 1500, 65_536):
+        monkeypatch.setattr(lattice_lm, "POSITIONS", positions)
+        assert lattice._one(text) == pytest.approx(alpha[-1], rel=1e-12)
+    large = "".join(rng.choice(list("abcdefghiklmnorstuABC0123+/="), 1 << 20))
+    began = time.perf_counter()
+    assert np.isfinite(lattice.log10([large])).all()
+    assert time.perf_counter() - began < 8  # 13 s before, with one look-up for each character and length
+
+
+def test_lattice_scores_with_shares_and_blocks(spark, monkeypatch):
+    """Parts dealt in shares of chunks, and counts added up by blocks of chunks, give the same scores."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", lattice_lm.held_out().alias("held_out"))
+    rounded = lambda rows: sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+    want = rounded(lattice_lm.score(docs).collect())
+    monkeypatch.setattr(lattice_lm, "ENTRIES", 40)
+    monkeypatch.setattr(lattice_lm, "CHUNKS", 3)
+    monkeypatch.setattr(lattice_lm, "LEAST_PARTS", 5)
+    monkeypatch.setattr(lattice_lm, "SLICE", 20_000)
+    assert rounded(lattice_lm.score(docs, chunk_bytes=40_000).collect()) == want
+
+
 def test_token_files(spark, odd):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for folder in (DATA, odd):
