@@ -359,8 +359,9 @@ def score(docs: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -
             }
         )
 
-    # a part with words that most chunks hold is answered in several shares of its chunks
-    shares = counts.select("part", F.ceil(F.col("entries") / ENTRIES).alias("shares")).where("shares > 1")
+    # A part with words that most chunks hold is answered in several shares of its chunks. Such parts are few: written, their
+    # size is known, so that Spark need not shuffle what is asked to find them.
+    shares = materialize(counts.select("part", F.ceil(F.col("entries") / ENTRIES).alias("shares")).where("shares > 1"))
     share = lambda n: F.pmod(F.xxhash64("chunk"), F.coalesce(n, F.lit(1)))
     dealt = asked.select("part", "chunk", "words").join(shares, "part", "left").withColumn("share", share(F.col("shares"))).drop("shares")
     known_words = counts.select("part", "words", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("entries") / ENTRIES) - 1)).alias("share"))
