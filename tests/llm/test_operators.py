@@ -400,6 +400,10 @@ def test_bucket_lengths_are_tokens(spark, odd):
                 full[r["bucket"], r["batch"]] += r["length"]
             alone = Counter((r["bucket"], r["batch"]) for r in rows)
             assert all(n <= length_buckets.TOKEN_BUDGET or alone[b] == 1 for b, n in full.items())
+            # no more batches than the budget asks for, each but a bucket's last one full
+            for bucket, boundary in {(r["bucket"], r["boundary"]) for r in rows}:
+                size, own = max(1, length_buckets.TOKEN_BUDGET // boundary), [n for (b, _), n in sorted(alone.items()) if b == bucket]
+                assert len(own) == -(-sum(own) // size) and all(n == size for n in own[:-1])
 
 
 def bag(text):
@@ -407,17 +411,22 @@ def bag(text):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
+def components(rows):
+    """The smallest id of each document's group, over all pairs of (doc_id, text)."""
+    docs = {r["doc_id"]: bag(r["text"]) for r in rows}
+    root = {i: i for i in docs}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        x, y = docs[a], docs[b]
+        if x and y and 0.8 * max(x.total(), y.total()) <= min(x.total(), y.total()) and (x & y).total() >= 0.8 * (x | y).total() - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
 def test_near_duplicates(spark, odd):
     for folder in (DATA, odd):
-        docs = {r["doc_id"]: bag(r["text"]) for r in documents(spark, folder)}
-        root = {i: i for i in docs}
-        for a, b in itertools.combinations(sorted(docs), 2):
-            x, y = docs[a], docs[b]
-            if x and y and 0.8 * max(x.total(), y.total()) <= min(x.total(), y.total()) and (x & y).total() >= 0.8 * (x | y).total() - 1e-9:
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
         got = {r["doc_id"]: r["group_id"] for r in QUERIES["op9_near_duplicates"](spark, folder).collect()}
-        assert got == root
+        assert got == components(documents(spark, folder))
 
 
 def test_hot_bucket_is_dealt_over_parts(spark, monkeypatch):

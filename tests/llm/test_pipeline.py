@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from glyphlake.llm import language, length_buckets, mixing
 from glyphlake.llm.common import materialize
-from glyphlake.llm.near_dup import near_duplicates
-from glyphlake.llm.quality import judge
+from glyphlake.llm.queries import ORACLE_SQL
 
 from ..conftest import DATA
-from .test_operators import least_padding
+from .test_operators import components, least_padding
 
 
 def test_stages(spark, tmp_path):
@@ -32,11 +31,13 @@ def test_stages(spark, tmp_path):
     sure = {i for i, t in texts.items() if t and any(c.isalpha() for c in t) and model.probabilities(t).max() >= model.least}
     assert {r["doc_id"] for r in after.collect()} == sure
     before, after = kept["quality"]
-    want = {r["doc_id"] for r in judge(before.select("doc_id", "text")).where("kept").collect()}
-    assert {r["doc_id"] for r in after.collect()} == want and want
+    before.write.parquet(f"{tmp_path}/judged.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/judged.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id FROM ({ORACLE_SQL['op2_quality_rules']}) WHERE kept ORDER BY doc_id").fetchall()
+    assert sorted((r["doc_id"],) for r in after.collect()) == want and want
     before, after = kept["near_dup"]
-    groups = {r["group_id"] for r in near_duplicates(before.select("doc_id", "text")).collect()}
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(groups)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(components(before.collect()).values()))
     before, after = kept["mixing"]
     before.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
