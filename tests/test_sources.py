@@ -1,4 +1,6 @@
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -68,6 +70,28 @@ def test_odd_matrices(spark, tmp_path):
         npy.read_matrix(spark, str(tmp_path / "column.npy")).count()
 
 
+def png(pixels):
+    """A PNG of (height, width, 3) bytes."""
+    h, w, _ = pixels.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images_of_a_folder(spark, tmp_path):
+    """Images in path order, labelled by their stems; what is no image, or of another suffix, is left out."""
+    rng = np.random.default_rng(2)
+    made = {name: rng.integers(0, 256, (4 + n, 6 - n, 3), dtype=np.uint8) for n, name in enumerate(("U+91D1", "U+4E00", "a.b"))}
+    for name, pixels in made.items():
+        (tmp_path / f"{name}.png").write_bytes(png(pixels))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    (tmp_path / "other.txt").write_bytes(png(made["a.b"]))
+    rows = files.read_glyphs(spark, str(tmp_path)).collect()
+    assert [r["label"] for r in rows] == ["U+4E00", "U+91D1", "a.b"] and [r["path"] for r in rows] == sorted(r["path"] for r in rows)
+    for r in rows:
+        assert np.array_equal(images.rgb(r["data"], r["height"], r["width"], r["channels"]), made[r["label"]])
+
+
 def test_image_preparation():
     black = images.prepared(np.zeros((10, 4, 3), dtype=np.uint8))
     assert black.shape == (3, 128, 128) and black.dtype == np.float32
