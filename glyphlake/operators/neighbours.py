@@ -7,7 +7,7 @@ in a grid of blocks, so that a task holds one block of either and no side is bro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,16 @@ def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> Iterator[tuple[
             yield int(query_id), int(ids[i]), float(row[i])
 
 
+def met(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a block of queries (query_id, q) finds in a block of anchors (idx, v) of its length: the best k of each."""
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = list(_best(left, right, k)) if len(left) and len(right) and left["dim"].iat[0] else []
+        return pd.DataFrame(rows, columns=["query_id", "idx", "score"]).astype({"query_id": "int64", "idx": "int64", "score": "float64"})
+
+    return found
+
+
 def nearest_of_each(anchors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, idx, score): for each query (query_id, embedding) its k nearest anchors of another id."""
     n_anchor = max(1, -(-anchors.count() // ANCHOR_BLOCK))
@@ -52,12 +62,8 @@ def nearest_of_each(anchors: DataFrame, queries: DataFrame, k: int) -> DataFrame
     a = whole(anchors, "idx").select(F.col("idx").cast("bigint").alias("idx"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim"), block("idx", n_anchor).alias("a"), every(n_query).alias("b"))
     q = whole(queries, "query_id").select(F.col("query_id").cast("bigint").alias("query_id"), scaled(F.col("embedding")).alias("q"), F.size("embedding").alias("dim"), every(n_anchor).alias("a"), block("query_id", n_query).alias("b"))
 
-    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = list(_best(left, right, k)) if len(left) and len(right) and left["dim"].iat[0] else []
-        return pd.DataFrame(rows, columns=["query_id", "idx", "score"]).astype({"query_id": "int64", "idx": "int64", "score": "float64"})
-
     keys = ["dim", "a", "b"]
-    found = q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(met, "query_id bigint, idx bigint, score double")
+    found = q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(met(k), "query_id bigint, idx bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "idx"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "idx", "score")
 

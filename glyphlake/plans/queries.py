@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codepoints as cp
 from ..functions import display
-from ..operators import activity, browse, graph, neighbours, phrase_index, ranges, search, sequences
+from ..operators import activity, browse, graph, neighbours, phrase_index, pruned, ranges, search, sequences
 from ..operators import entry as entry_ops
 from ..operators.home_counts import HomeCounts
 from ..schemas import MEANING_LANGUAGES, READING_TYPES
@@ -424,6 +424,12 @@ def knn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.decoded(hits, names).select("query_id", "rank", "idx", "score", "codepoint")
 
 
+@query(SCORES.format(which="vec_id % 100 = 0", met="e.vec_id <> query_id") + "SELECT query_id, rank, idx, score FROM r WHERE rank <= 6")
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anchors(spark, sf_dir)
+    return pruned.nearest_pruned(rows, rows.where("idx % 100 = 0").withColumnRenamed("idx", "query_id"), 6).hits
+
+
 @query(SCORES.format(which="vec_id % 100 = 0", met="e.vec_id <> query_id") + """, g AS (SELECT query_id, min(rank) FILTER (label = true_label) AS best FROM r GROUP BY query_id),
 c AS (SELECT count(*) AS n, count(*) FILTER (best <= 1) AS top1, count(*) FILTER (best <= 5) AS top5 FROM g)
 SELECT n, top1, top5, round(100.0::DOUBLE * top1 / n, 6) AS top1_percent, round(100.0::DOUBLE * top5 / n, 6) AS top5_percent, top1 >= n * 6 // 10 AS passed FROM c""")
