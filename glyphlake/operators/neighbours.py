@@ -7,7 +7,7 @@ in a grid of blocks, so that a task holds one block of either and no side is bro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,21 +35,20 @@ def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> Iterator[tuple[
     q, v = np.vstack(queries["q"].to_numpy()), np.vstack(block["v"].to_numpy()).T
     scores = (row for at in range(0, len(q), AT_ONCE) for row in np.round(q[at : at + AT_ONCE] @ v, 6))
     for query_id, row in zip(q_ids, scores, strict=True):
-        other = np.flatnonzero(ids != query_id)
-        if len(other) > k:
-            other = other[row[other] >= np.partition(row[other], len(other) - k)[len(other) - k]]
-        for i in other[np.lexsort((ids[other], -row[other]))[:k]]:
-            yield int(query_id), int(ids[i]), float(row[i])
+        yield from best_of(query_id, ids, row, k)
 
 
-def met(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """What a block of queries (query_id, q) finds in a block of anchors (idx, v) of its length: the best k of each."""
+def best_of(query_id: int, ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    """(query_id, idx, score) of the k best scores of other ids."""
+    other = np.flatnonzero(ids != query_id)
+    if len(other) > k:
+        other = other[scores[other] >= np.partition(scores[other], len(other) - k)[len(other) - k]]
+    for i in other[np.lexsort((ids[other], -scores[other]))[:k]]:
+        yield int(query_id), int(ids[i]), float(scores[i])
 
-    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = list(_best(left, right, k)) if len(left) and len(right) and left["dim"].iat[0] else []
-        return pd.DataFrame(rows, columns=["query_id", "idx", "score"]).astype({"query_id": "int64", "idx": "int64", "score": "float64"})
 
-    return found
+def hits_frame(rows: Iterable[tuple[int, int, float]]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["query_id", "idx", "score"]).astype({"query_id": "int64", "idx": "int64", "score": "float64"})
 
 
 def nearest_of_each(anchors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -62,8 +61,11 @@ def nearest_of_each(anchors: DataFrame, queries: DataFrame, k: int) -> DataFrame
     a = whole(anchors, "idx").select(F.col("idx").cast("bigint").alias("idx"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim"), block("idx", n_anchor).alias("a"), every(n_query).alias("b"))
     q = whole(queries, "query_id").select(F.col("query_id").cast("bigint").alias("query_id"), scaled(F.col("embedding")).alias("q"), F.size("embedding").alias("dim"), every(n_anchor).alias("a"), block("query_id", n_query).alias("b"))
 
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return hits_frame(_best(left, right, k) if len(left) and len(right) and left["dim"].iat[0] else [])
+
     keys = ["dim", "a", "b"]
-    found = q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(met(k), "query_id bigint, idx bigint, score double")
+    found = q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(met, "query_id bigint, idx bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "idx"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "idx", "score")
 

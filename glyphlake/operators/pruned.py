@@ -8,9 +8,9 @@ neighbours.nearest_of_each, and so are the results, whatever the data: on vector
 
 Scale: pivots are as many as the root of the number of rows, PIVOTS at most of each dimension, out of a sample SAMPLED times as large; they
 and one row of bounds for each shell (PIVOTS * SHELLS * BANDS at most, and those without a pivot) are all that the driver and every task hold.
-Anchors are written once with their cells. A shell is met in blocks of anchors and of its own visitors, so that neither a
-shell with a third of all anchors nor one that all queries visit is one task; an anchor is copied only once for each block of
-visitors of its shell, and not sent at all where there are none.
+Anchors are written once with their cells. Neighbouring shells are a block of about ANCHOR_BLOCK rows; it is dealt over tasks where it
+holds more, and so are its visitors, so that neither a shell with a third of all anchors nor one that all queries visit is one
+task. An anchor is copied only once for each QUERY_BLOCK visitors of its block, and not sent at all where there are none.
 
 Defined results: null keys, and vectors that are null or hold nulls or numbers that aren't finite, take no part; a vector meets
 those of its own length only, and lengths without a pivot are a cell that is bounded by length alone; vectors of length 0
@@ -19,7 +19,7 @@ score 0; an anchor with the query's id is not met; empty tables give an empty re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +30,14 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import scaled
 from ..session import shared_folder
-from .neighbours import ANCHOR_BLOCK, QUERY_BLOCK, met
+from .neighbours import ANCHOR_BLOCK, AT_ONCE, QUERY_BLOCK, best_of, hits_frame
 
 PIVOTS, SHELLS, BANDS = 1024, 32, 8
 #: Sampled anchors for each pivot.
 SAMPLED = 4
 #: Bounds that a task works on at a time.
-AT_ONCE = 2_000_000
-BLOCK = ["dim", "cell", "shell"]
+BOUNDS_AT_ONCE = 2_000_000
+SHELL, BLOCK = ["dim", "cell", "shell"], ["dim", "block"]
 #: What rounding to six places and errors of an angle may take from a bound, the latter for each unit of length.
 SLACK, LENGTH_SLACK = 2e-6, 1e-6
 
@@ -116,6 +116,15 @@ def _bounds(q: np.ndarray, pivots: np.ndarray | None, shells: pd.DataFrame) -> n
     return lengths[:, None] * np.where(cosine > 0, cosine * longest, cosine * shortest) + LENGTH_SLACK * longest
 
 
+def _blocks(shells: pd.DataFrame, most: int) -> pd.DataFrame:
+    """shells with a number, the block of neighbouring shells that it belongs to, and over how many tasks that is dealt."""
+    shells = shells.astype({"dim": "int32", "cell": "int32", "shell": "int32"}).assign(number=np.arange(len(shells), dtype="int32"))
+    before = shells.groupby("dim")["n"].cumsum() - shells["n"]
+    shells["block"] = (before // most).astype("int32")
+    shells["salts"] = (-(-shells.groupby(BLOCK)["n"].transform("sum") // most)).astype("int32")
+    return shells
+
+
 def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], shells: pd.DataFrame, k: int, after: bool) -> DataFrame:
     """The shells that each query meets first, or those that it meets after, given its threshold."""
     of_dim = {int(dim): rows.reset_index(drop=True) for dim, rows in shells.groupby("dim")}
@@ -126,7 +135,7 @@ def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], shells: pd.DataFr
                 if dim not in of_dim or not dim:
                     continue
                 own = of_dim[dim]
-                step = max(1, AT_ONCE // len(own))
+                step = max(1, BOUNDS_AT_ONCE // len(own))
                 for at in range(0, len(rows), step):
                     part = rows.iloc[at : at + step]
                     bounds = _bounds(np.stack(part["q"].to_numpy()), pivots.get(dim), own)
@@ -136,21 +145,47 @@ def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], shells: pd.DataFr
                     np.put_along_axis(first, order, np.cumsum(n, axis=1) - n < k + 1, axis=1)
                     wanted = ~first & (bounds + SLACK >= part["least"].to_numpy()[:, None]) if after else first
                     i, j = np.nonzero(wanted)
-                    yield part.iloc[i][["query_id", "dim", "q"]].assign(cell=own["cell"].to_numpy()[j], shell=own["shell"].to_numpy()[j])[["query_id", *BLOCK, "q"]]
-
-    return _kept(queries.mapInPandas(chosen, "query_id bigint, dim int, cell int, shell int, q array<double>"))
-
-
-def _scored(anchors: DataFrame, visits: DataFrame, k: int, anchor_block: int, query_block: int) -> DataFrame:
+                    if not len(i):
+                        continue
+                    block = own["block"].to_numpy()[j]
+                    opens = np.flatnonzero(np.diff(i, prepend=-1).astype(bool) | np.diff(block, prepend=-1).astype(bool))
+                    met = np.split(own["number"].to_numpy()[j], opens[1:])
+                    yield part.iloc[i[opens]][["query_id", "dim", "q"]].assign(block=block[opens], shells=met)[["query_id", *BLOCK, "shells", "q"]]
+
+    return _kept(queries.mapInPandas(chosen, "query_id bigint, dim int, block int, shells array<int>, q array<double>"))
+
+
+def _met(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What visitors of a block find in it: of each the best k among the shells that it asks for."""
+
+    def rows(queries: pd.DataFrame, block: pd.DataFrame) -> Iterator[tuple[int, int, float]]:
+        present, shell = np.unique(block["number"].to_numpy(), return_inverse=True)
+        ids, v, q_ids = block["idx"].to_numpy(), np.vstack(block["v"].to_numpy()), queries["query_id"].to_numpy()
+        for at in range(0, len(queries), AT_ONCE):
+            part = queries.iloc[at : at + AT_ONCE]
+            asks = np.zeros((len(part), len(present)), bool)
+            wanted = np.concatenate(part["shells"].to_numpy())
+            row, place = np.repeat(np.arange(len(part)), part["shells"].map(len)), np.minimum(np.searchsorted(present, wanted), len(present) - 1)
+            asks[row, place] |= present[place] == wanted
+            some = np.flatnonzero(asks.any(axis=0)[shell])
+            scores = np.round(np.vstack(part["q"].to_numpy()) @ v[some].T, 6)
+            for i in range(len(part)):
+                own = np.flatnonzero(asks[i, shell[some]])
+                yield from best_of(q_ids[at + i], ids[some[own]], scores[i, own], k)
+
+    return lambda left, right: hits_frame(rows(left, right) if len(left) and len(right) else [])
+
+
+def _scored(anchors: DataFrame, visits: DataFrame, k: int, query_block: int) -> DataFrame:
     """(query_id, idx, score): the best k of every block that a query meets."""
-    counts = visits.groupBy(BLOCK).agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
-    sizes = anchors.groupBy(BLOCK).agg(F.ceil(F.count("*") / anchor_block).cast("int").alias("salts")).join(counts, BLOCK)
+    parts = visits.groupBy(BLOCK).agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
-    a = anchors.join(sizes, BLOCK).select("idx", "v", *BLOCK, dealt(["idx", "v"], "salts").alias("salt"), every("parts").alias("part"))
-    q = visits.join(sizes, BLOCK).select("query_id", "q", *BLOCK, dealt(["query_id", "q"], "parts").alias("part"), every("salts").alias("salt"))
+    a = anchors.join(parts, BLOCK).select("idx", "v", "number", *BLOCK, dealt(["idx", "v"], "salts").alias("salt"), every("parts").alias("part"))
+    salts = anchors.groupBy(BLOCK).agg(F.first("salts").alias("salts")).join(parts, BLOCK)
+    q = visits.join(salts, BLOCK).select("query_id", "q", "shells", *BLOCK, dealt(["query_id", "q"], "parts").alias("part"), every("salts").alias("salt"))
     keys = [*BLOCK, "salt", "part"]
-    return q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(met(k), "query_id bigint, idx bigint, score double")
+    return q.groupBy(keys).cogroup(a.groupBy(keys)).applyInPandas(_met(k), "query_id bigint, idx bigint, score double")
 
 
 def nearest_pruned(anchors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, shells: int = SHELLS, anchor_block: int = ANCHOR_BLOCK, query_block: int = QUERY_BLOCK) -> Found:
@@ -160,16 +195,17 @@ def nearest_pruned(anchors: DataFrame, queries: DataFrame, k: int, pivots: int =
     directions = _pivots(a, pivots)
     a = _kept(_celled(a, directions, shells))
     bounds = [F.min("angle").alias("low"), F.max("angle").alias("high"), F.min("length").alias("shortest"), F.max("length").alias("longest")]
-    outlines = a.groupBy(BLOCK).agg(F.count("*").alias("n"), *bounds).orderBy(BLOCK).toPandas()
+    outlines = _blocks(a.groupBy(SHELL).agg(F.count("*").alias("n"), *bounds).orderBy(SHELL).toPandas(), anchor_block)
+    places = q.sparkSession.createDataFrame(outlines[[*SHELL, "number", "block", "salts", "n"]], "dim int, cell int, shell int, number int, block int, salts int, n bigint")
+    a = a.join(places.drop("n"), SHELL)
     first = _visits(q, directions, outlines, k, after=False)
-    early = _kept(_scored(a, first, k, anchor_block, query_block))
+    early = _kept(_scored(a, first, k, query_block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "idx"))
     least = early.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     limits = q.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     then = _visits(limits, directions, outlines, k, after=True)
-    hits = early.unionByName(_scored(a, then, k, anchor_block, query_block)).withColumn("rank", rank).where(F.col("rank") <= k)
-    sizes = a.groupBy(BLOCK).agg(F.count("*").alias("n"))
-    met_pairs = first.unionByName(then).select(BLOCK).join(sizes, BLOCK).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
+    hits = early.unionByName(_scored(a, then, k, query_block)).withColumn("rank", rank).where(F.col("rank") <= k)
+    met_pairs = first.unionByName(then).select(F.explode("shells").alias("number")).join(places, "number").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
     pairs = q.groupBy("dim").agg(F.count("*").alias("m")).join(a.groupBy("dim").agg(F.count("*").alias("n")), "dim").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("pairs"))
     none = F.lit(0).cast("bigint")
     work = met_pairs.withColumn("pairs", none).unionByName(pairs.withColumn("scored", none))
