@@ -19,6 +19,7 @@ from ..schemas import MEANING_LANGUAGES, READING_TYPES
 from ..session import shared_folder
 from ..sources.files import npy_files, npy_rows, read_class_index, read_list, write_json
 from ..sources.npy import read_matrix, write_matrix
+from ..sources.versions import Versions
 from ..streaming import activity as streams
 from .fixtures import bound, dictionary, fixture, with_bindings
 
@@ -468,6 +469,16 @@ def recent_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_list(lists, "items").select("user_id", joined("items").alias("keys"))
 
 
+@query(RECENT_LISTS)
+def recent_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of a versioned table into which the first days' events are merged and then the others."""
+    events, half = user_events(spark, sf_dir, KEY), F.lit("2024-01-15").cast("timestamp_ntz")
+    store = Versions(spark, shared_folder(spark), "user_id bigint, items string", "user_id")
+    for part in (events.where(F.col("ts") < half), events.where((F.col("ts") >= half) | F.col("ts").isNull())):
+        store.merge(part, activity.put_recent)
+    return read_list(store.read(), "items").select("user_id", joined("items").alias("keys"))
+
+
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 3600000000""")
 def debounce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.settled(user_events(spark, sf_dir, "event_type"), 3600).select("user_id", "event_id", "ts")
