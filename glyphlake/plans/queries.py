@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codepoints as cp
-from ..functions import display
+from ..functions import display, resample
 from ..operators import activity, browse, graph, neighbours, phrase_index, pruned, ranges, search, sequences
 from ..operators import entry as entry_ops
 from ..operators.home_counts import HomeCounts
@@ -397,6 +397,27 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_matrix(spark, path).select("idx", F.size("embedding").alias("n"), total.alias("total"))
 
 
+#: Sides that 8 x 8 pixels are resized to.
+SMALL, LARGE = 5, 11
+
+
+@query(f"""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, (floor(abs(embedding[i + 1]::DOUBLE) * 1000)::BIGINT % 256)::FLOAT AS v FROM embeddings, range(64) r(i) WHERE len(embedding) = 64),
+s AS (SELECT side, side AS n_out, 8::FLOAT / side::FLOAT AS ratio, greatest(8::FLOAT / side::FLOAT, 1::FLOAT) AS reach FROM (VALUES ({SMALL}), ({LARGE})) s(side)),
+o AS (SELECT side, o, i, greatest(0::FLOAT, 1::FLOAT - abs((i::FLOAT - ((o::FLOAT + 0.5::FLOAT) * ratio - 0.5::FLOAT)) / reach)) AS raw FROM s, range({LARGE}) a(o), range(8) b(i) WHERE o < side),
+t AS (SELECT side, o, list_reduce(list(raw ORDER BY i), lambda a, b: a + b) AS total FROM o GROUP BY side, o),
+w AS (SELECT side, o, i, raw / total AS w FROM o JOIN t USING (side, o)),
+v AS (SELECT vec_id, side, o AS oy, x, list_reduce(list(v * w ORDER BY i), lambda a, b: a + b) AS v FROM p JOIN w ON p.y = w.i GROUP BY vec_id, side, o, x),
+h AS (SELECT vec_id, side, oy, o AS ox, list_reduce(list(v * w ORDER BY i), lambda a, b: a + b) AS v FROM v JOIN w USING (side) WHERE v.x = w.i GROUP BY vec_id, side, oy, o),
+r AS (SELECT vec_id, side, oy, ox, floor(least(greatest(v, 0), 255)::DOUBLE + 0.5)::INTEGER AS p FROM h)
+SELECT vec_id, string_agg(p, '|' ORDER BY oy, ox) FILTER (side = {SMALL}) AS small, string_agg(p, '|' ORDER BY oy, ox) FILTER (side = {LARGE}) AS large FROM r GROUP BY vec_id""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 components of each vector as 8 x 8 pixels, resized both ways."""
+    pixels = F.transform("embedding", lambda x: (F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("int"))
+    rows = fixture(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", pixels.alias("pixels"))
+    shown = lambda side: joined(resample.resized(F.col("pixels"), F.lit(8), F.lit(8), side).cast("array<string>"))
+    return rows.select("vec_id", shown(SMALL).alias("small"), shown(LARGE).alias("large"))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
 
