@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -66,7 +67,8 @@ class Recent(StatefulProcessor):
 
 
 class BackStack(StatefulProcessor):
-    """A user's stack as map state from a running number to a key: a step reads or writes one key of it, however deep it is.
+    """A user's stack as map state from a running number to a key. What a batch pushes stays in the task, and only what is left
+    of it at the end is written; the state is read where a step goes back behind the batch, one key for each such step.
 
     each: a row after each event; else one for each batch, with the whole trail.
     """
@@ -80,31 +82,49 @@ class BackStack(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
         current, bottom, top = self.place.get() if self.place.exists() else (None, 0, 0)
-        at = lambda n: self.trail.getValue((n,))[0]
+        read, new = {}, deque()  # what the state was asked for, and the upper end of the trail, not yet in the state
+
+        def at(n: int) -> str:
+            if n not in read:
+                read[n] = self.trail.getValue((n,))[0]
+            return read[n]
+
         late = lambda r: (r["us"] is None, r["us"] or 0, r["event_id"] is None, r["event_id"] or 0)
         for r in sorted((r for r in rows if r["key"] is not None), key=late):
             if r["key"] == self.home:
-                if top > bottom:
+                if top - len(new) > bottom:
                     self.trail.clear()
+                read.clear()
+                new.clear()
                 current, bottom, top = None, 0, 0
             elif r["key"] == self.back:
                 if top > bottom:
-                    current = at(top)
-                    self.trail.removeKey((top,))
+                    if new:
+                        current = new.pop()
+                    else:
+                        current = at(top)
+                        self.trail.removeKey((top,))
+                        del read[top]
                     top -= 1
             elif r["key"] != current:
                 if current is not None:
                     top += 1
-                    self.trail.updateValue((top,), (current,))
+                    new.append(current)
                     if self.depth is not None and top - bottom > self.depth:
                         bottom += 1
-                        self.trail.removeKey((bottom,))
+                        if top - len(new) >= bottom:
+                            self.trail.removeKey((bottom,))
+                            read.pop(bottom, None)
+                        else:
+                            new.popleft()
                 current = r["key"]
             if self.each:
-                yield Row(user_id=key[0], event_id=r["event_id"], current=current, depth=top - bottom, previous=at(top) if top > bottom else None)
-        self.place.update((current, bottom, top))
+                yield Row(user_id=key[0], event_id=r["event_id"], current=current, depth=top - bottom, previous=new[-1] if new else at(top) if top > bottom else None)
         if not self.each:
-            yield Row(user_id=key[0], current=current, trail=[at(n) for n in range(bottom + 1, top + 1)])
+            yield Row(user_id=key[0], current=current, trail=[*map(at, range(bottom + 1, top - len(new) + 1)), *new])
+        for n, k in enumerate(new, top - len(new) + 1):
+            self.trail.updateValue((n,), (k,))
+        self.place.update((current, bottom, top))
 
     def close(self) -> None:
         pass
