@@ -10,8 +10,8 @@ by row, rarest token first, each time keeping the places at which the phrase can
 that still can be hits are left.
 
 Scale: the build shuffles occurrences once, after the task that reads a text has gathered its positions. The number of
-slices follows the number of rows, so a token in every row is cut into parts of about SLICE_ROWS rows, both as files and
-as tasks. Each write appends; no earlier file is read or changed.
+slices follows the numbers of rows and of characters, so a token in every row is cut into parts of about SLICE_ROWS rows, and a
+bucket's part of a slice, which one task gathers, has about SLICE_CHARS / BUCKETS characters, both as files and as tasks. Each write appends; no earlier file is read or changed.
 
 Defined results: rows with a null key are not found; equal rows are each a hit; a phrase without tokens has no hits; null
 and empty texts have no tokens.
@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from .search import SEPARATORS, base_letters, folded, phrase_tokens
 
-BUCKETS, SLICE_ROWS = 16, 1_000_000
+BUCKETS, SLICE_ROWS, SLICE_CHARS = 16, 1_000_000, 64_000_000
 
 
 def text_tokens(text: Column, fold: bool = False) -> Column:
@@ -85,11 +85,12 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def write_index(texts: DataFrame, path: str, key: str = "codepoint", columns: tuple[str, ...] = ("hanja", "body"), shown: tuple[str, ...] = ("hanja",), fold: bool = False, buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS) -> PhraseIndex:
+def write_index(texts: DataFrame, path: str, key: str = "codepoint", columns: tuple[str, ...] = ("hanja", "body"), shown: tuple[str, ...] = ("hanja",), fold: bool = False, buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS, slice_chars: int = SLICE_CHARS) -> PhraseIndex:
     """Adds texts to the index at path, which is made if missing; later writes must use the same key, columns, fold and buckets."""
     spark, used, part = texts.sparkSession, dict.fromkeys((*columns, *shown)), uuid.uuid4().hex
     texts = texts.where(F.col(key).isNotNull()).select(key, F.xxhash64(*used).alias("row"), *used)
-    slices = -(-max(1, texts.count()) // slice_rows)
+    size = texts.agg(F.count("*").alias("rows"), F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in columns)).alias("chars")).first()
+    slices = max(1, -(-size["rows"] // slice_rows), -(-(size["chars"] or 0) // slice_chars))
     fields = F.posexplode(F.array(*[text_tokens(F.col(c), fold) for c in columns])).alias("field", "words")
     spots = texts.select(key, "row", fields).select(key, "row", "field", F.posexplode("words").alias("position", "token"))
     spots = spots.withColumns({"part": F.lit(part), "bucket": _bucket(F.col("token"), buckets), "slice": F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")})

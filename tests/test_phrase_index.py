@@ -57,3 +57,11 @@ def test_search_command_by_index(spark, tmp_path):
     d = dictionary(spark, DATA)
     index = phrase_index.write_index(d.fts_search, f"file://{tmp_path}/i")
     assert api.search(d, "on the", index=index).collect() == api.search(d, "on the").collect()
+
+
+def test_parts_follow_the_length_of_texts(spark, tmp_path):
+    texts = spark.range(40).selectExpr("concat('U+', id) codepoint", "'a' hanja", "repeat(concat('the cat ', id, ' '), 100) body")
+    index = phrase_index.write_index(texts, f"file://{tmp_path}/i", buckets=2, slice_chars=5_000)
+    parts = index.postings("cat").groupBy("slice").agg(F.sum(F.size("positions")).alias("n")).collect()
+    assert len(parts) > 5 and max(r["n"] for r in parts) < 4_000 / 3
+    assert index.search("cat 7 the").select("codepoint").collect() == [("U+7",)]
